@@ -39,22 +39,38 @@ def vocabulary(messages: DataFrame) -> DataFrame:
     )
 
 
-def _positioned(messages: DataFrame | Arranged, params: Params) -> Arranged:
-    """Messages with the sender's word position their first word has (from 0)."""
-    if not isinstance(messages, Arranged):
-        messages = _with_text(messages).withColumn("_words", word_count(F.col("_text")))
-    arranged = running_sums(arrange(messages, params, ["_text", "_words"]), {"_upto": "_words"}, "sender_id")
-    return arranged.having(arranged.rows.withColumn("_offset", F.col("_upto") - F.col("_words")))
+def _words(messages: DataFrame) -> Column:
+    """The stored word count where there is one, which spares a pass over the text."""
+    if "word_count" in messages.columns:
+        return F.col("word_count")
+    return word_count(F.col("_text"))
 
 
-def token_stream(messages: DataFrame | Arranged, params: Params = DEFAULT) -> DataFrame:
+def _offsets(messages: DataFrame, params: Params) -> Arranged:
+    """Per message, the sender's word position its first word has (``_offset``, from 0).
+
+    Works on narrow rows without the text, so only counts are put in order.
+    """
+    counted = _with_text(messages).withColumn("_words", _words(messages))
+    narrow = [
+        name
+        for name in ("chat_id", "msg_id", "sender_id", "ts", "us", "slice")
+        if name in messages.columns
+    ]
+    base = arrange(counted.select(*narrow, "_words"), params, ["_words"])
+    placed = running_sums(base, {"_upto": "_words"}, "sender_id")
+    return placed.having(placed.rows.withColumn("_offset", F.col("_upto") - F.col("_words")))
+
+
+def token_stream(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """L1: one row per word, with its position among the sender's words in the chat.
 
     Positions are the words of earlier messages plus the place in this one, so
     words are never numbered by a window of their own.
     """
-    rows = _positioned(messages, params).rows
-    exploded = rows.select(
+    offsets = _offsets(messages, params).rows.select("chat_id", "msg_id", "_offset")
+    texts = _with_text(messages).select("chat_id", "msg_id", "sender_id", "_text")
+    exploded = texts.join(offsets, ["chat_id", "msg_id"]).select(
         "chat_id", "msg_id", "sender_id", "_offset", F.posexplode(tokenize(F.col("_text")))
     )
     return exploded.select(
@@ -77,19 +93,25 @@ def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFram
     """
     window = params.diversity_window
     size = max(params.tokens_per_bucket, window)
-    base = _positioned(messages, params)
+    base = _offsets(messages, params)
     totals = base.rows.groupBy(*BY_SENDER).agg(F.sum("_words").alias("_n"))
-    known = lookup(
-        base.rows.select("chat_id", "msg_id", "sender_id", "_offset", "_text"),
+    places = lookup(
+        base.rows.select("chat_id", "msg_id", "sender_id", "_offset"),
         totals,
         BY_SENDER,
         "msg_id",
         base.crowded,
         params,
         base.total,
-    )
-    words = known.select(*BY_SENDER, "_n", "_offset", F.posexplode(tokenize(F.col("_text")))).select(
-        *BY_SENDER, "_n", F.col("col").alias("token"), (F.col("_offset") + F.col("pos")).alias("i")
+    ).select("chat_id", "msg_id", "_offset", "_n")
+    # Texts move once, on the unique message key, whatever the size of a chat.
+    texts = _with_text(messages).select("chat_id", "msg_id", "sender_id", "_text")
+    words = (
+        texts.join(places, ["chat_id", "msg_id"])
+        .select(*BY_SENDER, "_n", "_offset", F.posexplode(tokenize(F.col("_text"))))
+        .select(
+            *BY_SENDER, "_n", F.col("col").alias("token"), (F.col("_offset") + F.col("pos")).alias("i")
+        )
     )
     own = F.expr(f"i div {size}")
     carried = F.col("i") % size > size - window
