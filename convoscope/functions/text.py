@@ -79,13 +79,17 @@ def exclamation_count(text: Column) -> Column:
 
 
 def emoji_count(text: Column) -> Column:
-    """one per emoji character; skin tones and variation selectors are not counted."""
-    return _count(text, EMOJI)
+    """one per emoji character; skin tones and variation selectors are not counted.
+
+    Text of one byte per character holds none and is not searched.
+    """
+    return F.when(F.octet_length(text) > F.length(text), _count(text, EMOJI)).otherwise(0)
 
 
 def link_count(raw: Column) -> Column:
-    """F7."""
-    return _count(raw, LINK)
+    """F7. Every link holds a slash or ``www.``, which is cheap to look for first."""
+    possible = F.contains(raw, F.lit("/")) | F.contains(F.lower(raw), F.lit("www."))
+    return F.when(possible, _count(raw, LINK)).otherwise(0)
 
 
 def elongation_count(raw: Column) -> Column:
@@ -106,23 +110,31 @@ def whole_message_token(text: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """fa, en, mixed, other or unknown, by the script that dominates."""
+    """fa, en, mixed, other or unknown, by the script that dominates.
+
+    Letters are only counted where both scripts occur.
+    """
     persian, latin = _count(text, PERSIAN_SCRIPT), _count(text, LATIN_SCRIPT)
+    has_persian, has_latin = text.rlike(PERSIAN_SCRIPT), text.rlike(LATIN_SCRIPT)
     return (
         F.when(is_blank(text), "unknown")
-        .when((persian > 0) & (latin > 0) & (persian > latin * SCRIPT_DOMINANCE), "fa")
-        .when((persian > 0) & (latin > 0) & (latin > persian * SCRIPT_DOMINANCE), "en")
-        .when((persian > 0) & (latin > 0), "mixed")
-        .when(persian > 0, "fa")
-        .when(latin > 0, "en")
-        .otherwise("other")
+        .when(~has_persian, F.when(has_latin, "en").otherwise("other"))
+        .when(~has_latin, "fa")
+        .when(persian > latin * SCRIPT_DOMINANCE, "fa")
+        .when(latin > persian * SCRIPT_DOMINANCE, "en")
+        .otherwise("mixed")
     )
 
 
 def clean(text: Column) -> Column:
-    """one space between words, runs of three or more characters cut to two."""
-    collapsed = F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CHAR}+", " ")
-    return F.regexp_replace(F.regexp_replace(collapsed, "^ | $", ""), r"(.)\1{2,}", "$1$1")
+    """one space between words, runs of three or more characters cut to two.
+
+    Only spacing that has to change is matched; a single plain space is left alone.
+    """
+    collapsed = F.regexp_replace(
+        F.coalesce(text, F.lit("")), f"{SPACE_CHAR}{{2,}}|[{SPACE_CHAR}&&[^ ]]", " "
+    )
+    return F.regexp_replace(F.trim(collapsed), r"(.)\1{2,}", "$1$1")
 
 
 def normalize_persian(text: Column) -> Column:
@@ -171,23 +183,34 @@ def with_features(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFram
     """
     markers = lexicon.token_markers
     listed = tuple(sorted({word for words in markers.values() for word in words}))
+    # A phrase of n characters has at most n words, so longer messages match none.
+    phrases = (*lexicon.low_investment, *lexicon.backchannel)
+    longest = max((len(phrase) for phrase in phrases), default=0)
     text, raw = F.col("_text"), F.coalesce(F.col("text"), F.lit(""))
     staged = (
         df.drop(*DERIVED_COLUMNS)
         .withColumn("_text", analysis_text())
         .withColumn("_tokens", tokenize(text))
-        .withColumn("_hits", F.filter("_tokens", lambda token: token.isin(*listed)))
-        .withColumn("_whole", whole_message_token(text))
+        .withColumns(
+            {
+                "_hits": F.filter("_tokens", lambda token: token.isin(*listed)),
+                "_words": F.size("_tokens"),
+                "_asks": F.exists("_tokens", lambda token: token.isin(*lexicon.question_words)),
+                "_question": is_question(raw),
+                "_whole": F.when(F.size("_tokens") <= longest, whole_message_token(text)).otherwise(
+                    F.lit(None)
+                ),
+            }
+        )
     )
-    asks = F.exists("_tokens", lambda token: token.isin(*lexicon.question_words))
-    hits = F.col("_hits")
+    hits, whole = F.col("_hits"), F.col("_whole")
     columns = {
-        "word_count": F.size("_tokens"),
+        "word_count": F.col("_words"),
         "char_count": char_count(text),
-        "is_question": is_question(raw).cast("int"),
-        "is_cold_closure": F.col("_whole").isin(*lexicon.low_investment).cast("int"),
-        "is_interrogative": (is_question(raw) | asks).cast("int"),
-        "is_backchannel": F.col("_whole").isin(*lexicon.backchannel).cast("int"),
+        "is_question": F.col("_question").cast("int"),
+        "is_cold_closure": F.coalesce(whole.isin(*lexicon.low_investment), F.lit(False)).cast("int"),
+        "is_interrogative": (F.col("_question") | F.col("_asks")).cast("int"),
+        "is_backchannel": F.coalesce(whole.isin(*lexicon.backchannel), F.lit(False)).cast("int"),
         "exclamation_count": exclamation_count(text),
         "emoji_count": emoji_count(text),
         "elongation_count": elongation_count(raw),
@@ -196,7 +219,9 @@ def with_features(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFram
     for name, words in markers.items():
         columns[f"{name}_count"] = members(hits, words)
     ordered = [columns[name].alias(name) for name in DERIVED_COLUMNS]
-    return staged.select("*", *ordered).drop("_text", "_tokens", "_hits", "_whole")
+    return staged.select("*", *ordered).drop(
+        "_text", "_tokens", "_hits", "_words", "_asks", "_question", "_whole"
+    )
 
 
 def style_counts(tokens: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> dict[str, Column]:

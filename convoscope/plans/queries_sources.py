@@ -14,6 +14,7 @@ from convoscope.plans.views import (
     MSG_EVENTS_SQL,
     msg_docs,
     msg_events,
+    spread,
     table,
 )
 from convoscope.schema import DERIVED_COLUMNS, MESSAGES, evolve
@@ -27,7 +28,7 @@ def _items(spark, folder):
     German ones are service entries, Spanish ones carry only a unix time and a
     sender under ``actor``, French ones have their text in pieces.
     """
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     lang = F.col("lang")
     half = F.expr("cast(length(text) / 2 as int)")
     text = F.when(

@@ -9,7 +9,7 @@ from convoscope.functions import text as T
 from convoscope.operators import aggregates as A
 from convoscope.plans.queries_lexical import tokens_sql, word_list
 from convoscope.plans.registry import register, with_ctes
-from convoscope.plans.views import MSG_DOCS_SQL, MSG_TEXT_SQL, msg_docs, msg_text, table
+from convoscope.plans.views import MSG_DOCS_SQL, MSG_TEXT_SQL, msg_docs, msg_text, spread, table
 from convoscope.schema import DERIVED_COLUMNS
 
 SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
@@ -102,7 +102,7 @@ msg_pages AS (
     with_ctes(PAGES_SQL, features_sql("msg_pages"), select=f"SELECT {_FEATURES} FROM features"),
 )
 def page_features(spark, folder):
-    pages = table(spark, folder, "pages").select(
+    pages = spread(table(spark, folder, "pages")).select(
         F.col("page_id").alias("chat_id"),
         F.col("page_id").alias("msg_id"),
         F.lit("page").alias("sender_id"),

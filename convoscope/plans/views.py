@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few small files over all cores, for work that is heavy per row.
+
+    A table of more files than cores is read in parallel as it is and not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
 def msg_events(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     content = (
@@ -79,7 +88,7 @@ def _minutes_after_new_year(number: str):
 
 
 def msg_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").select(
+    return spread(table(spark, folder, "conversations")).select(
         F.col("conv_id").alias("chat_id"),
         F.col("turn").alias("msg_id"),
         F.col("role").alias("sender_id"),
@@ -105,7 +114,7 @@ msg_text AS (
 
 
 def msg_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.expr("cast(substring(source, 4) as bigint)").alias("chat_id"),
         F.col("doc_id").alias("msg_id"),
         F.col("lang").alias("sender_id"),
