@@ -20,22 +20,30 @@ def participant_totals(messages: DataFrame) -> DataFrame:
     voice = F.col("content_type") == "voice_message"
     text = F.col("content_type") == "text"
     timed = voice & (F.col("duration_seconds") > 0)
-    return messages.groupBy(*BY_SENDER).agg(
-        F.max("sender_name").alias("sender_name"),
+    summed = {
+        "word_count": "word_count",
+        "char_count": "char_count",
+        "question_count": "is_question",
+        "cold_closure_count": "is_cold_closure",
+        "interrogative_count": "is_interrogative",
+        "backchannel_count": "is_backchannel",
+        **{name: name for name in MARKER_COLUMNS},
+    }
+    # Names are a key of the first step, so the scan is combined by hashing: a
+    # maximum over strings would make Spark sort every input split first.
+    by_name = messages.groupBy(*BY_SENDER, "sender_name").agg(
         F.count("*").alias("message_count"),
-        F.sum("word_count").alias("word_count"),
-        F.sum("char_count").alias("char_count"),
-        F.sum("is_question").alias("question_count"),
-        F.sum("is_cold_closure").alias("cold_closure_count"),
-        F.sum("is_interrogative").alias("interrogative_count"),
-        F.sum("is_backchannel").alias("backchannel_count"),
-        *[F.sum(name).alias(name) for name in MARKER_COLUMNS],
+        *[F.sum(source).alias(name) for name, source in summed.items()],
         F.count_if(text).alias("text_count"),
         F.count_if(voice).alias("voice_count"),
         F.count_if(~text & ~voice).alias("media_count"),
         F.sum(F.when(voice, F.col("duration_seconds")).otherwise(0)).alias("voice_seconds"),
         F.count_if(timed).alias("timed_voice_count"),
     )
+    figures = [name for name in by_name.columns if name not in (*BY_SENDER, "sender_name")]
+    return by_name.groupBy(*BY_SENDER).agg(
+        F.max("sender_name").alias("sender_name"), *[F.sum(name).alias(name) for name in figures]
+    )
 
 
 def hourly_distribution(messages: DataFrame) -> DataFrame:

@@ -36,18 +36,17 @@ NULL_SPREAD = 4096
 
 @dataclass(frozen=True)
 class Arranged:
-    """Messages with ``us`` (wall-clock microseconds) and, if needed, ``slice``."""
+    """Messages with ``us`` (wall-clock microseconds) and, if needed, ``slice``.
+
+    While not ``sliced``, no chat holds more rows than one task may, and so neither
+    does any group within a chat: a sender, a turn, or the replies to a message.
+    """
 
     rows: DataFrame
     params: Params
     sliced: bool
     total: int
 
-    @property
-    def crowded(self) -> bool:
-        """Whether some key of these rows could exceed one task's share at all."""
-        return self.total > self.params.rows_per_slice
-
     @property
     def part(self) -> list[str]:
         return ["chat_id", "slice"] if self.sliced else ["chat_id"]

@@ -94,13 +94,14 @@ def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFram
     window = params.diversity_window
     size = max(params.tokens_per_bucket, window)
     base = _offsets(messages, params)
-    totals = base.rows.groupBy(*BY_SENDER).agg(F.sum("_words").alias("_n"))
+    # From the same shuffled rows as the offsets, so the words are counted once.
+    totals = base.rows.groupBy(*BY_SENDER).agg(F.max("_upto").alias("_n"))
     places = lookup(
         base.rows.select("chat_id", "msg_id", "sender_id", "_offset"),
         totals,
         BY_SENDER,
         "msg_id",
-        base.crowded,
+        base.sliced,
         params,
         base.total,
     ).select("chat_id", "msg_id", "_offset", "_n")
@@ -163,9 +164,9 @@ def turn_tokens(
     )
     turns = with_bursts(counted, params, ["tokens", *names])
     bags = (
-        turns.rows.groupBy("chat_id", "burst_no")
+        # A turn has one sender; as a key it keeps the aggregation a hash one.
+        turns.rows.groupBy("chat_id", "burst_no", "sender_id")
         .agg(
-            F.max("sender_id").alias("sender_id"),
             F.sum("tokens").alias("tokens"),
             *[F.sum(name).alias(name) for name in names],
         )

@@ -142,20 +142,19 @@ def score(
     """Every question about every row, each distinct state asked once.
 
     ``state`` names the columns the model sees. Rows that agree on all of them, for
-    this question set, are one call to the model; the count of distinct states is
+    this question set, are one call to the model; the distinct states are
     found with map-side combine and the answers are looked up with hot states
-    salted. Returns the other columns with one row per question.
+    salted. Returns the other columns with one row per question. ``total`` is an
+    upper bound of the rows, counted if not given.
     """
     if not questions:
         raise ValueError("at least one question is required")
     spark = rows.sparkSession
     total = rows.count() if total is None else total
-    packed = F.to_json(F.struct(*state), {"ignoreNullFields": "false"})
-    asked = F.lit(fingerprint(questions))
-    keyed = rows.withColumn("_state", packed).withColumn(
-        "state_key", F.sha2(F.concat(asked, "_state"), 256)
-    )
-    states = keyed.groupBy("state_key").agg(F.first("_state").alias("state"))
+    packed = rows.withColumn("state", F.to_json(F.struct(*state), {"ignoreNullFields": "false"}))
+    key = F.sha2(F.concat(F.lit(fingerprint(questions)), "state"), 256)
+    keyed = packed.withColumn("state_key", key)
+    states = packed.select("state").distinct().withColumn("state_key", key)
     # A model call costs far more than its bytes, so tasks are not merged by size.
     tasks = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = states.repartition(tasks, "state_key").mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
@@ -224,8 +223,9 @@ def message_questions(
     """Tone and conflict of the given messages, as decisions."""
     rows = _sayings(messages).withColumn("is_question", F.col("is_question") == 1)
     picked = rows.select(*MESSAGE_KEY, "sender", "text", "is_question")
+    state = ["sender", "text", "is_question"]
     return as_decisions(
-        score(picked, questions, classifier, ["sender", "text", "is_question"], params=params), "message"
+        score(picked, questions, classifier, state, params=params, total=messages.count()), "message"
     )
 
 
@@ -271,7 +271,13 @@ def conversation_questions(
     """Dynamic and sentiment of each chat's window, as decisions."""
     windows = conversation_windows(messages, n, which)
     answers = score(
-        windows, questions, classifier, ["dialogue", "turns_count"], spread_by="chat_id", params=params
+        windows,
+        questions,
+        classifier,
+        ["dialogue", "turns_count"],
+        spread_by="chat_id",
+        params=params,
+        total=messages.count(),
     )
     return as_decisions(answers, "chat")
 
@@ -328,7 +334,10 @@ def assess(
     never asked about. Replies to bids are scored by :func:`score_replies`.
     """
     todo = unassessed(messages, decisions, offset, limit, params).select(*MESSAGE_KEY, "sender", "text")
-    return as_decisions(score(todo, questions, classifier, ["sender", "text"], params=params), "message")
+    answers = score(
+        todo, questions, classifier, ["sender", "text"], params=params, total=messages.count()
+    )
+    return as_decisions(answers, "message")
 
 
 def link_replies(messages: DataFrame, bids: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -349,7 +358,7 @@ def link_replies(messages: DataFrame, bids: DataFrame, params: Params = DEFAULT)
         "chat_id", F.col("msg_id").alias("response_id"), F.col("text").alias("response")
     )
     with_response = lookup(
-        linked, responses, ["chat_id", "response_id"], "msg_id", base.crowded, params, base.total, how="inner"
+        linked, responses, ["chat_id", "response_id"], "msg_id", base.sliced, params, base.total, how="inner"
     )
     return with_response.join(
         texts.withColumnRenamed("text", "previous_message"), list(MESSAGE_KEY)
@@ -374,7 +383,8 @@ def score_replies(
     bids = bids_in(decisions).join(answered(decisions, BID_MET_KEY), list(MESSAGE_KEY), "left_anti")
     links = link_replies(messages, bids, params)
     rows = links.select(*MESSAGE_KEY, "response_id", "previous_message", "response")
-    answers = score(rows, RESPONSE_QUESTIONS, classifier, ["previous_message", "response"], params=params)
+    state = ["previous_message", "response"]
+    answers = score(rows, RESPONSE_QUESTIONS, classifier, state, params=params, total=messages.count())
     named = answers.withColumns(
         {
             "question_key": F.lit(BID_MET_KEY),

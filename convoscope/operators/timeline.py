@@ -105,7 +105,7 @@ def timed_answers(
         parents,
         ["chat_id", "reply_to_msg_id"],
         spread_by="msg_id",
-        crowded=base.crowded,
+        crowded=base.sliced,
         params=params,
         total=base.total,
     )
@@ -171,7 +171,7 @@ def latency_stats(
     """Per chat and sender: ``n, total, median, p90`` of W2 or W3, in milliseconds."""
     timed, base = timed_answers(messages, params)
     chosen = timed.filter("in_active" if active else "in_window")
-    return group_quantiles(chosen, BY_SENDER, "latency_ms", base.crowded)
+    return group_quantiles(chosen, BY_SENDER, "latency_ms", base.sliced)
 
 
 def chat_spans(messages: DataFrame | Arranged, params: Params = DEFAULT) -> DataFrame:
@@ -192,7 +192,7 @@ def latency_kinds(messages: DataFrame | Arranged, params: Params = DEFAULT) -> D
     timed, base = timed_answers(messages, params)
     spans = chat_spans(base, params).select("chat_id", "monthly")
     dated = lookup(
-        timed, spans, ["chat_id"], "msg_id", base.crowded, params, base.total
+        timed, spans, ["chat_id"], "msg_id", base.sliced, params, base.total
     ).withColumn("_period", period_key(F.col("us"), F.col("monthly")))
     nothing = F.lit(None).cast("string")
     uses = F.array(
@@ -210,7 +210,7 @@ def latency_kinds(messages: DataFrame | Arranged, params: Params = DEFAULT) -> D
         spread.withColumn("period", F.coalesce("period", F.lit(""))),
         [*BY_SENDER, "kind", "period"],
         "latency_ms",
-        base.crowded,
+        base.sliced,
     ).withColumn("period", F.when(F.col("period") != "", F.col("period")))
 
 
@@ -219,9 +219,9 @@ def latency_periods(messages: DataFrame | Arranged, params: Params = DEFAULT) ->
     timed, base = timed_answers(messages, params)
     spans = chat_spans(base, params).select("chat_id", "monthly")
     dated = lookup(
-        timed.filter("in_window"), spans, ["chat_id"], "msg_id", base.crowded, params, base.total
+        timed.filter("in_window"), spans, ["chat_id"], "msg_id", base.sliced, params, base.total
     ).withColumn("period", period_key(F.col("us"), F.col("monthly")))
-    return group_quantiles(dated, [*BY_SENDER, "period"], "latency_ms", base.crowded)
+    return group_quantiles(dated, [*BY_SENDER, "period"], "latency_ms", base.sliced)
 
 
 # --- turns -------------------------------------------------------------------
