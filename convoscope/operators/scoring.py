@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoscope.functions.calendar import wall_micros
+from convoscope.functions.numbers import percent, rounded
 from convoscope.functions.text import analysis_text, is_blank
 from convoscope.operators.arrange import arrange, lookup, running_sums
 from convoscope.operators.classifiers import Classifier, Predictor
@@ -30,8 +31,7 @@ from convoscope.operators.questions import (
 from convoscope.operators.timeline import timeline, with_next_turn
 from convoscope.params import DEFAULT, Params
 from convoscope.schema import DECISIONS
-from convoscope.session import ensure_checkpoint_dir
-from convoscope.functions.numbers import percent, rounded
+from convoscope.session import ensure_checkpoint_dir, ship_package
 
 MESSAGE_KEY = ("chat_id", "msg_id")
 #: Most messages a conversation window may hold.
@@ -150,6 +150,7 @@ def score(
     if not questions:
         raise ValueError("at least one question is required")
     spark = rows.sparkSession
+    ship_package(spark)
     total = rows.count() if total is None else total
     packed = rows.withColumn("state", F.to_json(F.struct(*state), {"ignoreNullFields": "false"}))
     key = F.sha2(F.concat(F.lit(fingerprint(questions)), "state"), 256)

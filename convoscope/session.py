@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="convoscope-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+#: Application ids whose executors were sent the package.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="convoscope-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    # Spark copies the file to every executor, also to those that join later.
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
