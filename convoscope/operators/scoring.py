@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ from convoscope.schema import DECISIONS
 from convoscope.session import ensure_checkpoint_dir, ship_package
 
 MESSAGE_KEY = ("chat_id", "msg_id")
+#: States per model task while there are fewer than fill the session's partitions.
+STATES_PER_TASK = 1_000
 #: Most messages a conversation window may hold.
 MAX_WINDOW = 200
 
@@ -157,7 +160,8 @@ def score(
     keyed = packed.withColumn("state_key", key)
     states = packed.select("state").distinct().withColumn("state_key", key)
     # A model call costs far more than its bytes, so tasks are not merged by size.
-    tasks = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = parallelism or max(1, min(most, math.ceil(total / STATES_PER_TASK)))
     answers = states.repartition(tasks, "state_key").mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
     carried = [name for name in rows.columns if name not in state]
     answered = lookup(

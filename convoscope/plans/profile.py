@@ -148,7 +148,11 @@ def participant_facts(
     if base.sliced:
         ensure_checkpoint_dir(facts.sparkSession)
         facts = facts.checkpoint()
-    sums = {"chat_messages": F.col("message_count"), "chat_words": F.col("word_count")}
+    sums = {
+        "chat_members": F.lit(1),
+        "chat_messages": F.col("message_count"),
+        "chat_words": F.col("word_count"),
+    }
     if "timeline" in parts:
         sums |= {
             "chat_openings": F.col("opened_count"),
@@ -549,13 +553,12 @@ def full_profile(
     facts = participant_facts(messages, params)
     members = _nested(facts)
     profile = chat_profile(messages, params, lexicon, chats, facts)
-    small = profile.filter(F.col("participant_count") <= nested_members).select("chat_id")
     entry = F.struct(
         (-F.col("message_count")).alias("_order"), *[name for name in members.columns if name != "chat_id"]
     )
     # The hourly map keeps a struct from being ordered whole, so order by two plain fields.
     arrays = (
-        members.join(small, "chat_id", "left_semi")
+        _nested(facts.filter(F.col("chat_members") <= nested_members))
         .groupBy("chat_id")
         .agg(F.collect_list(entry).alias("participants"))
         .withColumn(

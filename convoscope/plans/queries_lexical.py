@@ -135,13 +135,13 @@ flagged AS (
   SELECT *, CASE WHEN lag(sender_id) OVER (PARTITION BY chat_id ORDER BY us, msg_id)
                       IS DISTINCT FROM sender_id THEN 1 ELSE 0 END AS starts
   FROM counted),
-numbered AS (
+turned AS (
   SELECT *, CAST(sum(starts) OVER (PARTITION BY chat_id ORDER BY us, msg_id
                                    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst_no
   FROM flagged),
 bags AS (
   SELECT chat_id, burst_no, max(sender_id) AS sender_id, CAST(sum(tokens) AS BIGINT) AS tokens, {sums}
-  FROM numbered GROUP BY chat_id, burst_no HAVING sum(tokens) > 0),
+  FROM turned GROUP BY chat_id, burst_no HAVING sum(tokens) > 0),
 rates AS (SELECT chat_id, burst_no, sender_id, {rates} FROM bags),
 paired AS (
   SELECT *, lag(sender_id) OVER w AS other, {lags}

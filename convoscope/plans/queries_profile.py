@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convoscope.functions import text as T
+from convoscope.functions.lexicon import FUNCTION_WORDS
 from convoscope.operators import aggregates as A
 from convoscope.operators import browse as B
 from convoscope.plans import profile as P
-from convoscope.plans.queries_lexical import DIVERSITY_SQL, _stream
+from convoscope.plans.queries_lexical import DIVERSITY_SQL, _stream, style_ctes
 from convoscope.plans.queries_text import features_sql, totals_select
 from convoscope.plans.queries_timeline import (
     LATENCY_SQL,
@@ -46,16 +47,19 @@ def _docs_sql(*parts: str, select: str) -> str:
     return with_ctes(MSG_DOCS_SQL, features_sql("msg_docs"), _TYPED, _DOC_TOTALS, *parts, select=select)
 
 
-@register(
-    "volume_report",
-    _docs_sql(
-        select=f"""
+VOLUME_SQL = f"""
         SELECT {KEYS}, message_count, word_count, char_count,
                {percent('word_count', 'message_count', 1.0)} AS avg_words_per_message,
                {percent('message_count', 'chat_messages')} AS message_share_percent,
                {percent('word_count', 'chat_words')} AS word_share_percent
         FROM (SELECT *, sum(message_count) OVER (PARTITION BY chat_id) AS chat_messages,
                      sum(word_count) OVER (PARTITION BY chat_id) AS chat_words FROM totals)"""
+
+
+@register(
+    "volume_report",
+    _docs_sql(
+        select=VOLUME_SQL
     ),
 )
 def volume_report(spark, folder):
@@ -86,16 +90,7 @@ halves AS (
 """
 
 
-@register(
-    "responsiveness_report",
-    _sql(
-        TURNS_SQL,
-        UPTAKE_SQL,
-        LATENCY_SQL,
-        SPANS_SQL,
-        PEOPLE_SQL,
-        REPLIES_SQL,
-        select=f"""
+RESPONSIVENESS_SQL = f"""
         SELECT {KEYS}, {rounded('r.total / 1000.0 / r.n')} AS avg_seconds,
                {rounded('r.median / 1000.0')} AS median_seconds, {rounded('r.p90 / 1000.0')} AS p90_seconds,
                coalesce(r.n, 0) AS reply_count, coalesce(a.question_count, 0) AS question_count,
@@ -106,7 +101,19 @@ halves AS (
                     THEN {rounded('(h.later - h.earlier) / h.earlier * 100')} END
                  AS latency_drift_percent
         FROM people LEFT JOIN replies r USING (chat_id, sender_id)
-             LEFT JOIN asked a USING (chat_id, sender_id) LEFT JOIN halves h USING (chat_id, sender_id)""",
+             LEFT JOIN asked a USING (chat_id, sender_id) LEFT JOIN halves h USING (chat_id, sender_id)"""
+
+
+@register(
+    "responsiveness_report",
+    _sql(
+        TURNS_SQL,
+        UPTAKE_SQL,
+        LATENCY_SQL,
+        SPANS_SQL,
+        PEOPLE_SQL,
+        REPLIES_SQL,
+        select=RESPONSIVENESS_SQL,
     ),
 )
 def responsiveness_report(spark, folder):
@@ -137,6 +144,7 @@ facts AS (
   SELECT {KEYS}, count(*) AS messages, sum(word_count) AS words, {_boundaries(21600)},
          count(DISTINCT burst_no) AS turn_count,
          count(*) FILTER (WHERE prev_sender_id = sender_id) AS continuations,
+         sum(is_cold_closure) AS cold_closures,
          count(*) FILTER (WHERE content_type = 'voice_message') AS voice_count,
          count(*) FILTER (WHERE content_type NOT IN ('text', 'voice_message')) AS media_count,
          count(*) FILTER (WHERE next_us IS NULL OR next_us - us > 10800000000) AS last_word_count,
@@ -152,20 +160,24 @@ shared AS (
 """
 
 
-@register(
-    "engagement_report",
-    _sql(
-        TURNS_SQL,
-        FACTS_SQL,
-        select=f"""
+ENGAGEMENT_SQL = f"""
         SELECT {KEYS}, opened_count, {percent('opened_count', 'chat_openings', empty='NULL')} AS opened_percent,
                closed_count, turn_count,
                {percent('messages', 'turn_count', 1.0)} AS avg_messages_per_turn,
                {percent('words', 'turn_count', 1.0)} AS avg_words_per_turn,
                {percent('continuations', 'messages')} AS double_text_percent,
-               CAST(0 AS BIGINT) AS cold_closure_count, CAST(0.0 AS DOUBLE) AS cold_closure_percent,
+               CAST(cold_closures AS BIGINT) AS cold_closure_count,
+               {percent('cold_closures', 'messages')} AS cold_closure_percent,
                voice_count AS voice_message_count, media_count
-        FROM shared""",
+        FROM shared"""
+
+
+@register(
+    "engagement_report",
+    _sql(
+        TURNS_SQL,
+        FACTS_SQL,
+        select=ENGAGEMENT_SQL,
     ),
 )
 def engagement_report(spark, folder):
@@ -173,27 +185,32 @@ def engagement_report(spark, folder):
     return P.report(facts, P.engagement)
 
 
-@register(
-    "circadian_report",
-    _sql(
-        TURNS_SQL,
-        LATENCY_SQL,
-        FACTS_SQL,
-        f"""active AS (
+ACTIVE_SQL = f"""active AS (
           SELECT {KEYS}, count(*) AS n, median(latency_ms) AS median,
                  quantile_disc(latency_ms, 0.9) AS p90
           FROM latencies WHERE in_active GROUP BY ALL),
         peaks AS (
           SELECT {KEYS}, arg_max(hour, total * 100 - hour) AS peak_hour
           FROM (SELECT {KEYS}, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS total
-                FROM msg_events GROUP BY ALL) GROUP BY ALL)""",
-        select=f"""
+                FROM msg_events GROUP BY ALL) GROUP BY ALL)"""
+
+CIRCADIAN_SQL = f"""
         SELECT s.chat_id, s.sender_id, {percent('s.night', 's.messages')} AS night_owl_percent,
                p.peak_hour, {rounded('a.median / 1000.0')} AS active_median_seconds,
                {rounded('a.p90 / 1000.0')} AS active_p90_seconds,
                coalesce(a.n, 0) AS active_reply_count, s.revived_count,
                {percent('s.revived_count', 's.chat_revivals', empty='NULL')} AS revived_percent
-        FROM shared s JOIN peaks p USING (chat_id, sender_id) LEFT JOIN active a USING (chat_id, sender_id)""",
+        FROM shared s JOIN peaks p USING (chat_id, sender_id) LEFT JOIN active a USING (chat_id, sender_id)"""
+
+
+@register(
+    "circadian_report",
+    _sql(
+        TURNS_SQL,
+        LATENCY_SQL,
+        FACTS_SQL,
+        ACTIVE_SQL,
+        select=CIRCADIAN_SQL,
     ),
 )
 def circadian_report(spark, folder):
@@ -209,19 +226,22 @@ sizes AS (
 """
 
 
+CONTROL_SQL = f"""
+        SELECT {KEYS}, burst_count, long_burst_count,
+               {percent('long_burst_count', 'burst_count')} AS long_burst_percent, longest_burst,
+               {percent('messages', 'burst_count', 1.0)} AS avg_burst_size, last_word_count,
+               {percent('last_word_count', 'chat_endings', empty='NULL')} AS last_word_percent,
+               collision_count, {percent('collision_count', 'messages')} AS collision_percent
+        FROM shared JOIN sizes USING (chat_id, sender_id)"""
+
+
 @register(
     "control_report",
     _sql(
         TURNS_SQL,
         FACTS_SQL,
         SIZES_SQL,
-        select=f"""
-        SELECT {KEYS}, burst_count, long_burst_count,
-               {percent('long_burst_count', 'burst_count')} AS long_burst_percent, longest_burst,
-               {percent('messages', 'burst_count', 1.0)} AS avg_burst_size, last_word_count,
-               {percent('last_word_count', 'chat_endings', empty='NULL')} AS last_word_percent,
-               collision_count, {percent('collision_count', 'messages')} AS collision_percent
-        FROM shared JOIN sizes USING (chat_id, sender_id)""",
+        select=CONTROL_SQL,
     ),
 )
 def control_report(spark, folder):
@@ -229,10 +249,7 @@ def control_report(spark, folder):
     return P.report(facts, P.control)
 
 
-@register(
-    "expression_report",
-    _docs_sql(
-        select=f"""
+EXPRESSION_SQL = f"""
         SELECT {KEYS}, exclamation_count, emoji_count, affection_count, apology_count, gratitude_count,
                self_reference_count, collective_reference_count, absolutist_count, elongation_count,
                {percent('exclamation_count', 'word_count', 1000.0)} AS exclamations_per_1k_words,
@@ -246,36 +263,41 @@ def control_report(spark, folder):
                         '(self_reference_count + collective_reference_count)', empty='NULL')}
                  AS collective_focus_percent
         FROM totals"""
+
+
+@register(
+    "expression_report",
+    _docs_sql(
+        select=EXPRESSION_SQL
     ),
 )
 def expression_report(spark, folder):
     return P.report(P.participant_facts(_docs(spark, folder), parts=()), P.expression)
 
 
-@register(
-    "stance_report",
-    _docs_sql(
-        select=f"""
+STANCE_SQL = f"""
         SELECT {KEYS}, interrogative_count,
                {percent('interrogative_count', 'message_count')} AS questions_per_100_messages,
                hedge_count, {percent('hedge_count', 'word_count', 1000.0)} AS hedge_per_1k_words,
                backchannel_count, {percent('backchannel_count', 'message_count')} AS backchannel_percent
         FROM totals"""
+
+
+@register(
+    "stance_report",
+    _docs_sql(
+        select=STANCE_SQL
     ),
 )
 def stance_report(spark, folder):
     return P.report(P.participant_facts(_docs(spark, folder), parts=()), P.stance)
 
 
-@register(
-    "composition_report",
-    _docs_sql(
-        _stream("msg_docs"),
-        DIVERSITY_SQL,
-        f"""vocabulary AS (
+VOCABULARY_SQL = f"""vocabulary AS (
           SELECT {KEYS}, count(*) AS tokens, count(DISTINCT token) AS unique_count
-          FROM stream GROUP BY ALL)""",
-        select=f"""
+          FROM stream GROUP BY ALL)"""
+
+COMPOSITION_SQL = f"""
         SELECT {KEYS}, coalesce(unique_count, 0) AS unique_word_count,
                {rounded('unique_count / tokens', 3)} AS type_token_ratio,
                {rounded('''distinct_in_windows
@@ -287,7 +309,16 @@ def stance_report(spark, folder):
                {percent('voice_seconds', 'timed_voice_count', 1.0, 'NULL')} AS avg_voice_seconds,
                timed_voice_count
         FROM totals LEFT JOIN vocabulary USING (chat_id, sender_id)
-             LEFT JOIN diversity USING (chat_id, sender_id)""",
+             LEFT JOIN diversity USING (chat_id, sender_id)"""
+
+
+@register(
+    "composition_report",
+    _docs_sql(
+        _stream("msg_docs"),
+        DIVERSITY_SQL,
+        VOCABULARY_SQL,
+        select=COMPOSITION_SQL,
     ),
 )
 def composition_report(spark, folder):
@@ -328,20 +359,15 @@ def _evenness(value: str) -> str:
         WHEN count(*) FILTER (WHERE {value} > 0) < 2 THEN 100.0 ELSE {score} END"""
 
 
-@register(
-    "balance_report",
-    _sql(
-        TURNS_SQL,
-        LATENCY_SQL,
-        FACTS_SQL,
-        f"""paces AS (
+PACES_SQL = f"""paces AS (
           SELECT {KEYS}, {rounded('median(latency_ms) / 1000.0')} AS pace
           FROM latencies WHERE in_window GROUP BY ALL),
         weighted AS (
           SELECT f.*, p.pace, sum(messages) OVER c AS t_messages, sum(words) OVER c AS t_words,
                  sum(opened_count) OVER c AS t_opened_count
-          FROM facts f LEFT JOIN paces p USING (chat_id, sender_id) WINDOW c AS (PARTITION BY f.chat_id))""",
-        select=f"""
+          FROM facts f LEFT JOIN paces p USING (chat_id, sender_id) WINDOW c AS (PARTITION BY f.chat_id))"""
+
+BALANCE_SQL = f"""
         SELECT chat_id, {_evenness('messages')} AS message_balance_percent,
                0.0::DOUBLE AS word_balance_percent,
                {_evenness('opened_count')} AS initiation_balance_percent,
@@ -350,7 +376,17 @@ def _evenness(value: str) -> str:
                END AS response_time_ratio
         FROM weighted GROUP BY chat_id""".replace(
             "0.0::DOUBLE AS word_balance_percent", _evenness("words") + " AS word_balance_percent"
-        ),
+        )
+
+
+@register(
+    "balance_report",
+    _sql(
+        TURNS_SQL,
+        LATENCY_SQL,
+        FACTS_SQL,
+        PACES_SQL,
+        select=BALANCE_SQL,
     ),
 )
 def balance_report(spark, folder):
@@ -358,18 +394,21 @@ def balance_report(spark, folder):
     return P.chat_facts(facts).select("chat_id", *P.balance())
 
 
-@register(
-    "chat_summary",
-    _sql(
-        LATENCY_SQL,
-        select=f"""
+SUMMARY_SQL = f"""
         SELECT chat_id, m.total_messages, m.participant_count, m.first_ts AS date_range_start,
                m.last_ts AS date_range_end, l.avg_response_time_seconds
         FROM (SELECT chat_id, count(*) AS total_messages, count(DISTINCT sender_id) AS participant_count,
                      min(ts) AS first_ts, max(ts) AS last_ts FROM msg_events GROUP BY ALL) m
         LEFT JOIN (SELECT chat_id, {rounded('sum(latency_ms) / 1000.0 / count(*)')}
                      AS avg_response_time_seconds
-                   FROM latencies WHERE in_window GROUP BY ALL) l USING (chat_id)""",
+                   FROM latencies WHERE in_window GROUP BY ALL) l USING (chat_id)"""
+
+
+@register(
+    "chat_summary",
+    _sql(
+        LATENCY_SQL,
+        select=SUMMARY_SQL,
     ),
 )
 def chat_summary(spark, folder):
@@ -383,14 +422,113 @@ def chat_summary(spark, folder):
     )
 
 
-@register("chat_profile")
-def chat_profile(spark, folder):
-    return P.chat_profile(_docs(spark, folder))
+#: Documents seen as timed messages, so that every event query applies to them.
+_DOCS_AS_EVENTS = """
+msg_events AS (
+  SELECT *, 'text' AS content_type, CAST(0 AS INTEGER) AS duration_seconds,
+         CAST(NULL AS BIGINT) AS reply_to_msg_id
+  FROM features)
+"""
+_PROFILE_CTES = (
+    MSG_DOCS_SQL,
+    features_sql("msg_docs"),
+    _TYPED,
+    _DOC_TOTALS,
+    _DOCS_AS_EVENTS,
+    NEIGHBOURS_SQL,
+    TURNS_SQL,
+    UPTAKE_SQL,
+    LATENCY_SQL,
+    SPANS_SQL,
+    PEOPLE_SQL,
+    REPLIES_SQL,
+    FACTS_SQL,
+    SIZES_SQL,
+    ACTIVE_SQL,
+    _stream("msg_docs"),
+    DIVERSITY_SQL,
+    VOCABULARY_SQL,
+)
+_GROUPS = {
+    "responsiveness": (P.responsiveness, RESPONSIVENESS_SQL),
+    "engagement": (P.engagement, ENGAGEMENT_SQL),
+    "expression": (P.expression, EXPRESSION_SQL),
+    "circadian": (P.circadian, CIRCADIAN_SQL),
+    "control": (P.control, CONTROL_SQL),
+    "composition": (P.composition, COMPOSITION_SQL),
+    "stance": (P.stance, STANCE_SQL),
+}
+
+
+def _joined_groups() -> str:
+    """All report groups side by side, their columns prefixed with the group."""
+    columns, joins = ["volume.*"], ["volume"]
+    ctes = [f"volume AS ({VOLUME_SQL})"]
+    for name, (_, sql) in _GROUPS.items():
+        ctes.append(f"g_{name} AS ({sql})")
+        columns.append(f"COLUMNS(g_{name}.* EXCLUDE (chat_id, sender_id)) AS '{name}_\\0'")
+        joins.append(f"JOIN g_{name} USING (chat_id, sender_id)")
+    select = f"SELECT {', '.join(columns)} FROM {' '.join(joins)}"
+    return with_ctes(*_PROFILE_CTES, *ctes, select=select)
+
+
+@register("participant_profile", _joined_groups())
+def participant_profile(spark, folder):
+    profile = P.participant_profile(_docs(spark, folder))
+    nested = {"latency_trend", "hourly_distribution"}
+    flat = [
+        F.col(f"{group}.{field.name}").alias(f"{group}_{field.name}")
+        for group in _GROUPS
+        for field in profile.schema[group].dataType
+        if field.name not in nested
+    ]
+    volume = [
+        "message_count",
+        "word_count",
+        "char_count",
+        "avg_words_per_message",
+        "message_share_percent",
+        "word_share_percent",
+    ]
+    return profile.select("chat_id", "sender_id", *volume, *flat)
+
+
+def _chat_profile_sql() -> str:
+    style = ", ".join(f"{rounded(f'avg({name}) * 100')} AS style_{name}" for name in FUNCTION_WORDS)
+    mean = " + ".join(FUNCTION_WORDS)
+    return with_ctes(
+        *_PROFILE_CTES,
+        SESSIONS_SQL,
+        PACES_SQL,
+        style_ctes("msg_docs"),
+        f"summary AS ({SUMMARY_SQL})",
+        f"rhythm AS ({RHYTHM_SQL})",
+        f"balance AS ({BALANCE_SQL})",
+        f"""style AS (
+          SELECT chat_id, {rounded(f'avg(({mean}) / 9) * 100')} AS lsm_percent, count(*) AS turn_pairs, {style}
+          FROM pairs GROUP BY chat_id)""",
+        select="""SELECT * FROM summary JOIN rhythm USING (chat_id) JOIN balance USING (chat_id)
+                  JOIN style USING (chat_id)""",
+    )
 
 
-@register("participant_profile")
-def participant_profile(spark, folder):
-    return P.participant_profile(_docs(spark, folder))
+@register("chat_profile", _chat_profile_sql())
+def chat_profile(spark, folder):
+    profile = P.chat_profile(_docs(spark, folder))
+    category = F.col("style_matching.by_category")
+    return profile.select(
+        "chat_id",
+        "total_messages",
+        "participant_count",
+        "date_range_start",
+        "date_range_end",
+        "avg_response_time_seconds",
+        "rhythm.*",
+        "balance.*",
+        "style_matching.lsm_percent",
+        "style_matching.turn_pairs",
+        *[category[name].alias(f"style_{name}") for name in FUNCTION_WORDS],
+    )
 
 
 @register(

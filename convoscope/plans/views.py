@@ -78,7 +78,8 @@ msg_events AS (
            CAST(CASE WHEN event_type = 'purchase' THEN floor(value) ELSE 0 END AS INTEGER)
              AS duration_seconds,
            CAST(event_type = 'click' AS INTEGER) AS is_question,
-           CAST(length(event_type) AS INTEGER) AS word_count
+           CAST(length(event_type) AS INTEGER) AS word_count,
+           CAST(0 AS INTEGER) AS is_cold_closure
     FROM events))
 """
 

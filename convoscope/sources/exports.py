@@ -41,7 +41,7 @@ UTC_OFFSET = r"(?<=\d)(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$"
 
 _DOCUMENT = "name string, type string, id bigint, messages array<variant>, _corrupt_record string"
 
-#: A reader turns a path into the canonical message columns (U4).
+#: A reader turns a path into export items with their chat's header fields (U4).
 Reader = Callable[[SparkSession, str], DataFrame]
 
 

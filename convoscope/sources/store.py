@@ -176,13 +176,16 @@ def import_exports(
     tz: str = "UTC",
     name: str | None = None,
     lines: bool = False,
+    reader: exports.Reader | None = None,
 ) -> DataFrame:
     """Read every export under ``source``, store messages and chats as one batch.
 
+    ``reader`` replaces the export reader for another format (U4): it returns rows of
+    ``external_id, name, type, source_order`` and a VARIANT ``item``.
     Returns per chat the messages written and the messages it holds now. Importing
     the same exports again changes nothing but the batch that holds them.
     """
-    read = exports.read_message_lines if lines else exports.read_exports
+    read = reader or (exports.read_message_lines if lines else exports.read_exports)
     store_items(read(spark, source), store, batch, lexicon, normalizer, tz, name)
     written = (
         spark.read.parquet(f"{store}/messages/batch={batch}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from convoscope.functions.calendar import MICROS
 from convoscope.functions.lexicon import DEFAULT_LEXICON, Lexicon
 from convoscope.functions.text import Normalizer, normalize
 from convoscope.params import DEFAULT, Params
@@ -64,14 +65,33 @@ def stream_sessions(
     threshold, as the batch operator does.
     """
     timed = messages.withColumn("event_time", F.col("ts").cast("timestamp"))
-    gap = F.lit(f"{params.session_gap} seconds")
+    if messages.isStreaming:
+        # Rows of one chat are merged where they are read, so a chat that fills a
+        # third of a batch sends its sessions to one task, not its rows.
+        messages.sparkSession.conf.set(
+            "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", True
+        )
+        gap = F.lit(f"{params.session_gap} seconds")
+        spans = timed.withWatermark("event_time", delay).select(
+            "chat_id", "event_time", F.lit(1).alias("n"), F.col("event_time").alias("until")
+        )
+    else:
+        # Messages of one gap-wide slot are in one session whatever else happens, so a
+        # table is first reduced to one span per chat and slot.
+        slot = F.expr(f"unix_micros(event_time) div {params.session_gap * MICROS}")
+        spans = timed.groupBy("chat_id", slot.alias("slot")).agg(
+            F.min("event_time").alias("event_time"),
+            F.max("event_time").alias("until"),
+            F.count("*").alias("n"),
+        )
+        length = F.unix_micros("until") - F.unix_micros("event_time") + F.lit(params.session_gap * MICROS)
+        gap = F.concat(length.cast("string"), F.lit(" microseconds"))
     return (
-        timed.withWatermark("event_time", delay)
-        .groupBy("chat_id", F.session_window("event_time", gap).alias("session"))
+        spans.groupBy("chat_id", F.session_window("event_time", gap).alias("session"))
         .agg(
-            F.count("*").alias("message_count"),
+            F.sum("n").alias("message_count"),
             F.min("event_time").alias("start_time"),
-            F.max("event_time").alias("end_time"),
+            F.max("until").alias("end_time"),
         )
         .select("chat_id", "start_time", "end_time", "message_count")
     )
