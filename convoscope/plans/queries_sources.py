@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from convoscope.functions import text as T
 from convoscope.operators import browse as B
-from convoscope.plans.queries_text import features_sql
+from convoscope.plans.queries_text import features_sql, normalized_ctes
 from convoscope.plans.queries_timeline import NEIGHBOURS_SQL, SESSIONS_SQL
 from convoscope.plans.registry import register, with_ctes
 from convoscope.plans.views import (
@@ -96,6 +96,31 @@ def parsed_items(spark, folder):
     return exports.parse_items(exports.message_lines(_items(spark, folder))).drop("source_order")
 
 
+@register(
+    "imported_messages",
+    with_ctes(
+        MSG_DOCS_SQL,
+        "kept AS (SELECT * FROM msg_docs WHERE sender_id <> 'de')",
+        normalized_ctes("kept"),
+        features_sql("normalized", "CASE WHEN normalized_text <> '' THEN normalized_text ELSE text END"),
+        select=f"""SELECT chat_id, msg_id, sender_id, ts, text, normalized_text, language,
+                          {', '.join(DERIVED_COLUMNS)} FROM features""",
+    ),
+)
+def imported_messages(spark, folder):
+    imported = exports.import_items(exports.message_lines(_items(spark, folder)))
+    return imported.select(
+        "chat_id",
+        "msg_id",
+        "sender_id",
+        "ts",
+        "text",
+        "normalized_text",
+        "language",
+        *DERIVED_COLUMNS,
+    )
+
+
 @register(
     "rejected_items",
     with_ctes(

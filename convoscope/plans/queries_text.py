@@ -40,27 +40,28 @@ ELONGATION = r"""CAST(len(list_filter(chars, lambda c, i: i >= 3 AND c = chars[i
     AND (i = 3 OR c <> chars[i - 3]) AND regexp_full_match(c, '[\p{L}\p{N}_]'))) AS INTEGER)"""
 
 
-def features_sql(view: str) -> str:
+def features_sql(view: str, analysis: str = "text") -> str:
+    """Derived columns of ``view``; ``analysis`` is the text most of them read."""
     markers = ",\n".join(
         f"{_members(words)} AS {name}_count" for name, words in X.TOKEN_MARKERS.items()
     )
     return f"""
 prepared AS (
-  SELECT *, {tokens_sql()} AS tokens, string_split(text, '') AS chars,
-         regexp_replace(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]', '', 'g')
+  SELECT *, {tokens_sql(analysis)} AS tokens, string_split(text, '') AS chars, {analysis} AS read_text,
+         regexp_replace(lower({strip_sql(analysis)}), '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]', '', 'g')
            AS whole
   FROM {view}),
 features AS (
-  SELECT * EXCLUDE (tokens, chars, whole),
+  SELECT * EXCLUDE (tokens, chars, whole, read_text),
          CAST(len(tokens) AS INTEGER) AS word_count,
-         CAST(length(text) AS INTEGER) AS char_count,
+         CAST(length(read_text) AS INTEGER) AS char_count,
          CAST(regexp_matches(text, '[?؟]') AS INTEGER) AS is_question,
          CAST(list_contains({word_list(X.LOW_INVESTMENT)}, whole) AS INTEGER) AS is_cold_closure,
          CAST(regexp_matches(text, '[?؟]')
               OR list_has_any(tokens, {word_list(X.QUESTION_WORDS)}) AS INTEGER) AS is_interrogative,
          CAST(list_contains({word_list(X.BACKCHANNEL)}, whole) AS INTEGER) AS is_backchannel,
-         {_hits('[!！]')} AS exclamation_count,
-         {_hits(EMOJI)} AS emoji_count,
+         {_hits('[!！]', 'read_text')} AS exclamation_count,
+         {_hits(EMOJI, 'read_text')} AS emoji_count,
          {_hits(LINK)} AS link_count,
          {ELONGATION} AS elongation_count,
          {markers}
