@@ -23,7 +23,7 @@ from convoscope.operators.questions import (
     COVERAGE_KEY,
     MESSAGE_QUESTIONS,
     RESPONSE_QUESTIONS,
-    SCORE,
+    TYPES,
     YES_NO,
     YES_THRESHOLD,
     Question,
@@ -76,13 +76,16 @@ def _predictor(classifier: Classifier) -> Predictor:
     return _OPENED[classifier.name]
 
 
-def _raw_answer(question: Question, raw: Mapping) -> dict:
-    number = raw.get("score") if question.type == SCORE else raw.get("noul")
+def _raw_answer(key: str, question: Question | None, raw: Mapping) -> dict:
+    """One answer in the columns of the Arrow schema; the payload may name its own type."""
+    kind = raw.get("type") or (question.type if question else CHOICE)
+    kind = kind if kind in TYPES else CHOICE
+    value = raw.get(kind, raw.get("value"))
     return {
-        "question_key": question.key,
-        "decision_type": question.type,
-        "choice": str(raw["choice"]) if question.type == CHOICE else None,
-        "number": None if question.type == CHOICE else float(number or 0.0),
+        "question_key": key,
+        "decision_type": kind,
+        "choice": str(value) if kind == CHOICE else None,
+        "number": None if kind == CHOICE else float(value or 0.0),
         "confidence": float(raw.get("confidence") or 0.0),
         "probabilities": [(str(k), float(v)) for k, v in (raw.get("probabilities") or {}).items()],
     }
@@ -99,7 +102,7 @@ def _ask(classifier: Classifier, questions: Sequence[Question]):
             rows = [
                 {
                     "state_key": key,
-                    "answers": [_raw_answer(by_key[name], raw) for name, raw in answers.items()],
+                    "answers": [_raw_answer(name, by_key.get(name), raw) for name, raw in answers.items()],
                 }
                 for key, answers in zip(columns["state_key"], predict(states, questions))
             ]
@@ -463,8 +466,9 @@ def assessment_progress(
 
 
 def json_value(raw: Column) -> Column:
-    """a JSON value as text, or the raw text where it is not JSON."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "string"), raw)
+    """the text of a JSON string; any other JSON, or text that is none, as it is."""
+    text = F.try_variant_get(F.try_parse_json(raw), "$", "string")
+    return F.when(raw.startswith('"'), F.coalesce(text, raw)).otherwise(raw)
 
 
 def decisions_for(

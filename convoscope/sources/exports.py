@@ -159,7 +159,7 @@ def export_headers(
         .json(path)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    if name is not None:
+    if name:
         headers = headers.withColumn("name", F.lit(name))
     elif name_from_file:
         stem = F.regexp_extract("source_file", r"([^/]+?)(\.[^./]*)?$", 1)

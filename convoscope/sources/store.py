@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -44,15 +45,18 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last write wins on ``keys``; every other column is replaced.
 
-    Rows within ``new`` may carry ``batch_seq`` to order repeats of one key.
+    ``base`` holds each key once. Rows within ``new`` may repeat a key; ``batch_seq``
+    then orders them. Replaced rows are taken out of ``base`` by an anti join on the
+    keys, so a small batch is broadcast and the base is not moved.
     """
-    if "batch_seq" not in new.columns:
-        new = new.withColumn("batch_seq", F.lit(1).cast("bigint"))
+    if "batch_seq" in new.columns:
+        fresh = latest(new, keys, "batch_seq").drop("batch_seq")
     else:
-        new = new.withColumn("batch_seq", F.col("batch_seq").cast("bigint") + 1)
-    old = base.withColumn("batch_seq", F.lit(0).cast("bigint"))
-    both = old.unionByName(new, allowMissingColumns=True)
-    return latest(both, keys, "batch_seq").drop("batch_seq")
+        fresh = latest(new.withColumn("batch_seq", F.lit(0)), keys, "batch_seq").drop("batch_seq")
+    replaced = fresh.select(*[F.col(key).alias(f"_new_{key}") for key in keys])
+    same = [F.col(key).eqNullSafe(F.col(f"_new_{key}")) for key in keys]
+    kept = base.join(replaced, reduce(lambda a, b: a & b, same), "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_messages(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def store_items(
     once = latest(parsed, MESSAGE_KEY, "source_order").drop("source_order")
     write_batch(exports.derive(once, lexicon, normalizer), f"{store}/messages", batch)
     chats = items.groupBy("external_id").agg(
-        (F.max("name") if name is None else F.max(F.lit(name))).alias("name"),
+        (F.max(F.lit(name)) if name else F.max("name")).alias("name"),
         F.max("type").alias("type"),
     )
     write_batch(

@@ -7,7 +7,9 @@ import pytest
 from convoscope.operators import aggregates as A
 from convoscope.operators import browse as B
 from convoscope.operators import lexical as L
+from convoscope.operators import scoring as S
 from convoscope.operators import timeline as W
+from convoscope.sources import store
 from convoscope.sources.store import compact
 from helpers import messages
 
@@ -73,6 +75,15 @@ def test_scans_are_combined_by_hashing(stored):
 def test_ranks_are_cut_before_the_shuffle(spark):
     counts = spark.range(10).selectExpr("id % 2 as g", "id as k", "id as v")
     assert "WindowGroupLimit" in plan(B.fold_top_k(counts, ["g"], "k", "v"))
+    assert "WindowGroupLimit" in plan(S.conversation_windows(messages(spark, [("u1", 0, "a")])))
+
+
+def test_a_small_upsert_does_not_move_the_base(spark, stored):
+    new = stored.filter("msg_id = 1")
+    text = plan(store.upsert_messages(stored, new))
+    base = text.split("LeftAnti", 1)[1]
+    assert "BroadcastHashJoin" in text
+    assert "Exchange hashpartitioning" not in base.split("BroadcastExchange")[0]
 
 
 def test_rows_need_no_python(stored):

@@ -204,6 +204,12 @@ def test_values_and_means(spark):
     assert [r["question_key"] for r in S.decisions_for(decisions, msg_ids=[1]).collect()] == ["q", "s"]
 
 
+def test_chat_answers_are_replaced_though_they_have_no_message(spark):
+    one = spark.createDataFrame([("chat", 1, None, "q", "choice", "1", 1.0, {}, {}, None)], DECISIONS)
+    two = one.withColumn("result_value", F.lit("2"))
+    assert [r["result_value"] for r in upsert_decisions(one, two).collect()] == ["2"]
+
+
 def test_decisions_are_replaced_by_key(spark, tmp_path):
     old = stored(spark, [(1, "q", "1"), (1, "r", "1")])
     new = stored(spark, [(1, "q", "2")])
