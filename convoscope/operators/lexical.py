@@ -82,14 +82,14 @@ def token_stream(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """L3: mean share of distinct words over every window of W = min(500, N) words.
-
-    A word at position i whose previous use is at p is the first of its kind in
-    ``min(i, N-W) - max(p+1, i-W+1, 0) + 1`` windows (none if negative); summed over
-    all words and divided by the ``N-W+1`` windows of W words this is the mean. Only
-    a use within the last W words matters, so positions are cut into buckets, each
-    with the W-1 words before it, and a frequent word is spread over its buckets.
+def _windows_per_word(messages: DataFrame, params: Params) -> DataFrame:
+    """Every word with the number of windows it is the first of its kind in.
+
+    With W = min(500, N) of the sender's N words, a word at position i whose previous
+    use is at p comes first in ``min(i, N-W) - max(p+1, i-W+1, 0) + 1`` windows (none if
+    negative). Only a use within the last W words matters, so positions are cut into
+    buckets, each with the W-1 words before it, and a frequent word is spread over its
+    buckets.
     """
     window = params.diversity_window
     size = max(params.tokens_per_bucket, window)
@@ -128,16 +128,42 @@ def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFram
     return (
         spread.withColumn("_p", last_use)
         .filter(F.col("_bucket") == own)
+        .select(*BY_SENDER, "token", "_n", windows.alias("_windows"))
+    )
+
+
+def _diversity(window: int) -> Column:
+    """Words that come first, summed over windows, by the words all windows hold."""
+    n = F.col("token_count")
+    w = F.least(F.lit(window), n)
+    return F.col("distinct_in_windows") / ((n - w + 1) * w)
+
+
+def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """L3: mean share of distinct words over every window of min(500, N) words."""
+    return (
+        _windows_per_word(messages, params)
         .groupBy(*BY_SENDER)
-        .agg(F.max("_n").alias("token_count"), F.sum(windows).alias("distinct_in_windows"))
-        .withColumn(
-            "lexical_diversity",
-            F.col("distinct_in_windows")
-            / (
-                (F.col("token_count") - F.least(F.lit(window), F.col("token_count")) + 1)
-                * F.least(F.lit(window), F.col("token_count"))
-            ),
+        .agg(F.max("_n").alias("token_count"), F.sum("_windows").alias("distinct_in_windows"))
+        .withColumn("lexical_diversity", _diversity(params.diversity_window))
+    )
+
+
+def word_profile(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """L2 and L3 from one pass over the words: counts, distinct words and diversity."""
+    per_word = (
+        _windows_per_word(messages, params)
+        .groupBy(*BY_SENDER, "token")
+        .agg(F.max("_n").alias("_n"), F.sum("_windows").alias("_windows"))
+    )
+    return (
+        per_word.groupBy(*BY_SENDER)
+        .agg(
+            F.max("_n").alias("token_count"),
+            F.count("*").alias("unique_count"),
+            F.sum("_windows").alias("distinct_in_windows"),
         )
+        .withColumn("lexical_diversity", _diversity(params.diversity_window))
     )
 
 

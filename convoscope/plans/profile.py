@@ -105,12 +105,6 @@ def latency_facts(base: Arranged, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def word_facts(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    vocabulary = L.vocabulary(messages).select(*BY_SENDER, "token_count", "unique_count")
-    diversity = L.lexical_diversity(messages, params).select(*BY_SENDER, "lexical_diversity")
-    return vocabulary.join(diversity, BY_SENDER, "left")
-
-
 def with_chat_totals(members: DataFrame, base: Arranged, sums: Mapping[str, Column]) -> DataFrame:
     """Add sums over the members of a chat to each of them.
 
@@ -144,7 +138,8 @@ def participant_facts(
     if "latency" in parts:
         facts = facts.join(latency_facts(base, params), BY_SENDER, "left")
     if "words" in parts:
-        facts = facts.join(word_facts(messages, params), BY_SENDER, "left")
+        words = L.word_profile(messages, params).drop("distinct_in_windows")
+        facts = facts.join(words, BY_SENDER, "left")
     if base.sliced:
         ensure_checkpoint_dir(facts.sparkSession)
         facts = facts.checkpoint()

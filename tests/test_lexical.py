@@ -29,9 +29,12 @@ def test_diversity_equals_brute_force(spark, params):
     rows.append(("u4", 100, "only three words"))
     said["u4"] = ["only", "three", "words"]
     found = by_sender(L.lexical_diversity(messages(spark, rows), params))
+    both = by_sender(L.word_profile(messages(spark, rows), params))
     for sender, tokens in said.items():
         assert found[sender]["token_count"] == len(tokens)
         assert found[sender]["lexical_diversity"] == pytest.approx(brute_diversity(tokens, 7))
+        assert both[sender]["lexical_diversity"] == found[sender]["lexical_diversity"]
+        assert (both[sender]["token_count"], both[sender]["unique_count"]) == (len(tokens), len(set(tokens)))
 
 
 def test_vocabulary(spark):
