@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from convoscope.llm.common import small, stage
 from convoscope.llm.decontaminate import without_benchmark
-from convoscope.llm.jaccard_join import jaccard_groups
+from convoscope.llm.jaccard_join import JaccardJoin, jaccard_groups
 from convoscope.llm.language_crf import UNKNOWN, fit_language, label_language
 from convoscope.llm.mixing import Mix, mix
 from convoscope.llm.toxicity import fit_toxicity, score_toxicity
 
 KEY = "__key"
 
+#: Near copies as a stage takes them: shingles of five words, similarity 0.8.
+NEAR = JaccardJoin(shingle=5, least=80)
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The rows with a key of their own in ``__key``: the id where it names every row,
@@ -41,11 +44,11 @@ def keep_languages(docs: DataFrame, allowed: Column, least_share: float = 0.5, f
     return found.where(~unclear).select("row.*") if model else docs
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, params: JaccardJoin = NEAR) -> DataFrame:
     """Of each group of near copies the document with the least ``doc_id``; documents
     without words are in no group and stay."""
     rows = keyed(docs)
-    groups = jaccard_groups(rows.select(F.col(KEY).alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = jaccard_groups(rows.select(F.col(KEY).alias("doc_id"), "text"), params).where("n_shingles > 0")
     named = rows.select(F.col(KEY).alias("key"), F.col("doc_id").cast("bigint").alias("id"))
     members = stage(groups.join(named, groups["doc_id"] == named["key"]).select("key", "id", "component_id"), "members")
     heads = members.groupBy("component_id").agg(
