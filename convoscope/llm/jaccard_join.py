@@ -12,6 +12,9 @@ Set-relation skipping, in two ways:
   known overlaps with the pivot bound their own overlap, and only pairs that the bound
   leaves open are compared.
 
+Before whole sets are compared, parity signatures of a thirtieth of their size rule out
+pairs that share a passage and little else; the bound is exact.
+
 Shingles are 64-bit hashes. Equal sets are one class before anything else, so copies are
 never expanded. Shingles are ordered by (frequent, hash), frequent ones last, so a
 passage that many documents share is in the prefix only of documents made of little
@@ -83,6 +86,17 @@ def _print(found: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(one).view(np.int64)), int(np.uint64(two).view(np.int64))
 
 
+def _signature(found: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes by their bits modulo a power of two, at least twice the
+    set's size: where two parities differ, some shingle is in one set only."""
+    size = 64
+    while size < 2 * len(found):
+        size *= 2
+    at = (found >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in parts], out=offsets[1:])
@@ -133,12 +147,13 @@ def prefix_counts(docs: DataFrame, p: JaccardJoin) -> DataFrame:
 
 
 def indexed_sets(docs: DataFrame, frequent, p: JaccardJoin) -> DataFrame:
-    """Per document: ``doc_id, n, node, other`` (two fingerprints of its set) and ``prefix``."""
+    """Per document: ``doc_id, n, node, other`` (two fingerprints of its set), ``prefix``
+    and ``signature``."""
 
     def work(batches):
         bitmap = _value(frequent)
         for batch in batches:
-            sizes, one, two, parts = [], [], [], []
+            sizes, one, two, parts, signs = [], [], [], [], []
             for _, found in _sets(batch, p):
                 n = len(found)
                 a, b = _print(found)
@@ -146,13 +161,17 @@ def indexed_sets(docs: DataFrame, frequent, p: JaccardJoin) -> DataFrame:
                 ordered = np.concatenate([found[~late], found[late]]) if late.any() else found
                 sizes.append(n), one.append(a), two.append(b)
                 parts.append(ordered[: prefix_length(n, p.least, p.whole) if n else 0].view(np.int64))
+                signs.append(_signature(found))
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), _lists(parts)],
-                ["doc_id", "n", "node", "other", "prefix"],
+                 pa.array(two, pa.int64()), _lists(parts), _lists(signs)],
+                ["doc_id", "n", "node", "other", "prefix", "signature"],
             )
 
-    return arrow_map(docs, work, "doc_id bigint, n bigint, node bigint, other bigint, prefix array<bigint>")
+    return arrow_map(
+        docs, work,
+        "doc_id bigint, n bigint, node bigint, other bigint, prefix array<bigint>, signature array<bigint>",
+    )
 
 
 def shared_entries(classes: DataFrame, shared, p: JaccardJoin) -> DataFrame:
@@ -202,6 +221,42 @@ def _alike(shared: Column, a: Column, b: Column, p: JaccardJoin) -> Column:
     return shared * (p.whole + p.least) >= (a + b) * p.least
 
 
+def possible(pairs: DataFrame, signatures: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The pairs whose signatures leave a link open.
+
+    Parities that differ count shingles of one set only, so at most
+    (n_a + n_b - differing) / 2 shingles are shared. No linked pair is lost.
+    """
+    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"))
+    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"))
+    # Sizes of linked sets are near, so the longer signature is folded once at most.
+    fold = lambda x, y: F.when(
+        F.size(x) > F.size(y),
+        F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda u, v: u.bitwiseXOR(v)),
+    ).otherwise(x)
+    x, y = fold(F.col("sign_a"), F.col("sign_b")), fold(F.col("sign_b"), F.col("sign_a"))
+    differing = F.aggregate(
+        F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, c: n + c
+    )
+    most = F.floor((F.col("n_a") + F.col("n_b") - differing) / 2)
+    return (
+        pairs.join(left, "a").join(right, "b").where(_alike(most, F.col("n_a"), F.col("n_b"), p))
+        .select("a", "b", "n_a", "n_b")
+    )
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, p: JaccardJoin) -> DataFrame | None:
+    """Rows ``(node, items)`` with the whole sets of these nodes (and perhaps of others);
+    None if there are no nodes. The texts are read again, not moved."""
+    ids = classes.join(nodes, "node", "left_semi").select(F.coalesce("doc_id", F.lit(0)).alias("id"))
+    wanted = bitmap_of(ids, "id", p.bits)
+    if wanted is None:
+        return None
+    found = stage(wanted_sets(docs, wanted, p), "items")
+    rows, different = found.agg(F.count("*"), F.count_distinct("node")).first()
+    return found if rows == different else stage(found.dropDuplicates(["node"]), "items")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs (a, b, n_a, n_b)`` with ``shared``, the size of the two sets' intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
@@ -228,7 +283,7 @@ def jaccard_groups(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> Data
         classes.alias("c"),
         F.expr("k.doc_id <=> c.doc_id AND k.node = c.node AND k.other = c.other"), "left_semi",
     )
-    posted = stage(chosen.select("node", "n", "prefix"), "posted")
+    posted = stage(chosen.select("node", "n", "prefix", "signature"), "posted")
     twice = posted.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
     shared = bitmap_of(twice, "token", p.bits)
     links = _links(docs, classes, posted, shared, p) if shared is not None else None
@@ -266,14 +321,11 @@ def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: Ja
         F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_p").alias("n_b")
     ).distinct()
 
-    in_lists = lists.select("node").distinct()
-    ids = classes.join(in_lists, "node", "left_semi").select(F.coalesce("doc_id", F.lit(0)).alias("id"))
-    wanted = bitmap_of(ids, "id", p.bits)
-    if wanted is None:
-        return None
-    sets = stage(
-        wanted_sets(docs, wanted, p).join(in_lists, "node", "left_semi").dropDuplicates(["node"]), "items"
-    )
+    signatures = posted.select("node", "signature")
+    stars = stage(possible(stars, signatures, p).distinct(), "star-pairs")
+    sets = sets_of(_nodes(stars), docs, classes, p)
+    if sets is None:
+        sets = docs.sparkSession.createDataFrame([], "node bigint, items array<bigint>")
     to_pivot = stage(compared(stars, sets), "stars")
     is_link = _alike(F.col("shared"), F.col("n_a"), F.col("n_b"), p)
     first = to_pivot.where(is_link).select("a", "b")
@@ -313,5 +365,13 @@ def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: Ja
         & _alike(F.least(a - F.col("pos_a"), b - F.col("pos_b")), a, b, p)
         & F.coalesce(_alike(most, a, b, p), F.lit(True)),
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
+    pairs = stage(possible(pairs, signatures, p).distinct(), "open-pairs")
+    missing = sets_of(_nodes(pairs).join(sets.select("node"), "node", "left_anti"), docs, classes, p)
+    if missing is not None:
+        sets = sets.unionByName(missing.join(sets.select("node"), "node", "left_anti"))
     second = compared(pairs, sets).where(is_link).select("a", "b")
     return components(first.unionByName(second))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
