@@ -29,6 +29,9 @@ from convoscope.llm.common import annotate, uniform
 
 UNKNOWN = "und"
 
+#: Characters that are worked on at once: many chains side by side, within some 200 MB.
+CHUNK = 1_000_000
+
 
 @dataclass(frozen=True)
 class CrfParams:
@@ -311,7 +314,7 @@ def label_language(docs: DataFrame, model: CrfModel | None, text: str = "text")
         else:
             sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             found = []
-            for a, b in bw.chunks(sizes):
+            for a, b in bw.chunks(sizes, CHUNK):
                 found += predict(texts[a:b], m)
         names = m.labels if m else ()
         words = [[(name, value) for name, value in zip(names, f[2])] for f in found]

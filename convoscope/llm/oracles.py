@@ -122,3 +122,45 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) A
        coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
+
+OP2 = """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS key FROM pages),
+often AS (
+  SELECT key, max(page_id) AS first_id FROM p WHERE octet_length(payload) >= 1000 GROUP BY key HAVING count(*) > 1)
+SELECT p.page_id, CAST(octet_length(p.payload) AS BIGINT) AS payload_bytes, p.key AS payload_digest,
+       CASE WHEN o.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN o.first_id <> p.page_id THEN o.first_id END AS refers_to,
+       p.url, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN often o ON o.key = p.key
+"""
+
+OP9 = """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+  FROM conversations),
+alike AS (
+  SELECT a.pair_id, a.place FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.place = b.place
+  WHERE a.side = 0 AND b.side = 1 AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),
+prefix AS (
+  SELECT t.pair_id,
+         coalesce(min(t.place) FILTER (a.place IS NULL), count(DISTINCT t.place)) AS n_prompt
+  FROM t LEFT JOIN alike a ON a.pair_id = t.pair_id AND a.place = t.place GROUP BY t.pair_id),
+shown AS (
+  SELECT t.*, p.n_prompt, '<|im_start|>' || coalesce(role, '') || chr(10) AS head,
+         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN prefix p ON p.pair_id = t.pair_id),
+measured AS (
+  SELECT *, sum(CASE WHEN place >= n_prompt THEN length(body) ELSE 0 END)
+              OVER (PARTITION BY pair_id, side ORDER BY place) AS ends FROM shown)
+SELECT pair_id, CAST(n_prompt AS BIGINT) AS n_prompt,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (side = 0 AND place < n_prompt), '') AS prompt,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (side = 0 AND place >= n_prompt), '') AS chosen,
+       coalesce(string_agg(body, '' ORDER BY place) FILTER (side = 1 AND place >= n_prompt), '') AS rejected,
+       coalesce(string_agg((ends - length(body) + length(head)) || '-' || ends, ',' ORDER BY place)
+                FILTER (side = 0 AND place >= n_prompt AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((ends - length(body) + length(head)) || '-' || ends, ',' ORDER BY place)
+                FILTER (side = 1 AND place >= n_prompt AND role = 'assistant'), '') AS rejected_spans
+FROM measured GROUP BY pair_id, n_prompt
+"""

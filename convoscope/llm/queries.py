@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convoscope.llm import oracles
 from convoscope.llm.common import held_out, learnable, table
 from convoscope.llm.decontaminate import find_benchmark, hit_words
+from convoscope.llm.fingerprint import fingerprints
 from convoscope.llm.jaccard_join import jaccard_groups
 from convoscope.llm.language_crf import fit_language, label_language
+from convoscope.llm.licenses import scan_licenses
 from convoscope.llm.mixing import mix
+from convoscope.llm.preferences import preference_pairs
+from convoscope.llm.quality_rules import fit_rules, score_quality
 from convoscope.llm.toxicity import fit_toxicity, score_toxicity
+from convoscope.llm.warc import round_trip
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +24,16 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    def number(urn: str):
+        return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("bigint")
+
+    return round_trip(table(spark, folder, "pages")).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"), "url", "problem",
+    )
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     hit = hit_words()
@@ -30,6 +45,17 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_rules(docs, table(spark, folder, "labels"), learnable("doc_id", 4, 2))
+    return score_quality(docs, model).select(
+        "row.doc_id",
+        held_out("row.doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = fit_language(docs, learnable("doc_id", 3, 1))
@@ -38,10 +64,34 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select(
+        "row.doc_id",
+        F.size("notices").cast("bigint").alias("n_notices"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("notices.license"))).alias("licenses"),
+        F.array_min("notices.different").alias("least_different"),
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(table(spark, folder, "documents"))
 
 
+def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k."""
+    turns = table(spark, folder, "conversations").select(
+        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("first"),
+        "turn", "role", "text",
+    )
+    columns = ["pair_id", "turn", "role", "text"]
+    return preference_pairs(turns.where("first").select(columns), turns.where("NOT first").select(columns))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, folder, "labels"), learnable("doc_id", 3, 1))
@@ -56,14 +106,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_licenses": op7_licenses,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_preferences": op9_preferences,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
     "op1_mixing": oracles.OP1,
+    "op2_warc": oracles.OP2,
     "op3_decontamination": oracles.OP3,
     "op8_jaccard_join": oracles.OP8,
+    "op9_preferences": oracles.OP9,
 }
