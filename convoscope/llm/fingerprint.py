@@ -40,8 +40,8 @@ _VALUES[_DIGITS] = np.arange(64)
 class Sketch:
     """Bytes a shingle; one in ``scale`` hashes is kept (a power of two)."""
 
-    shingle: int = 24
-    scale: int = 16
+    shingle: int = 16
+    scale: int = 8
 
 
 def sketch(raw: bytes, p: Sketch = Sketch()) -> np.ndarray:
