@@ -13,7 +13,8 @@ Set-relation skipping, in two ways:
   leaves open are compared.
 
 Before whole sets are compared, parity signatures of a thirtieth of their size rule out
-pairs that share a passage and little else; the bound is exact.
+pairs that differ in more shingles than a link allows; the bound is exact. A short form
+of the signature is tested while blocks are probed, so such pairs are never emitted.
 
 Shingles are 64-bit hashes. Equal sets are one class before anything else, so copies are
 never expanded. Shingles are ordered by (frequent, hash), frequent ones last, so a
@@ -44,14 +45,16 @@ from convoscope.llm.common import arrow_map, components, stage
 @dataclass(frozen=True)
 class JaccardJoin:
     """Parameters: words a shingle, the least similarity ``least / whole``, from how many
-    prefix entries on a shingle counts as frequent, and the bits of the two bitmaps
-    (of frequent shingles, of shared ones; a fuller bitmap skips less)."""
+    prefix entries on a shingle counts as frequent, the bits of the two bitmaps (of
+    frequent shingles, of shared ones; a fuller bitmap skips less), and how many rounds
+    of pivots are tried. Only the first two change the result."""
 
     shingle: int = 4
     least: int = 85
     whole: int = 100
-    frequent: int = 40
+    frequent: int = 8
     bits: int = 26
+    rounds: int = 2
 
 
 def prefix_length(n, least: int, whole: int):
@@ -86,10 +89,15 @@ def _print(found: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(one).view(np.int64)), int(np.uint64(two).view(np.int64))
 
 
+#: Numbers of 64 bits in the shortest signature.
+_FOLD = 16
+
+
 def _signature(found: np.ndarray) -> np.ndarray:
     """Parity of the set's hashes by their bits modulo a power of two, at least twice the
-    set's size: where two parities differ, some shingle is in one set only."""
-    size = 64
+    set's size: where two parities differ, some shingle is in one set only. Folding its
+    halves together gives the signature of half the size."""
+    size = _FOLD * 64
     while size < 2 * len(found):
         size *= 2
     at = (found >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
@@ -148,12 +156,12 @@ def prefix_counts(docs: DataFrame, p: JaccardJoin) -> DataFrame:
 
 def indexed_sets(docs: DataFrame, frequent, p: JaccardJoin) -> DataFrame:
     """Per document: ``doc_id, n, node, other`` (two fingerprints of its set), ``prefix``
-    and ``signature``."""
+    ``signature`` and ``fold``, the signature folded to its shortest length."""
 
     def work(batches):
         bitmap = _value(frequent)
         for batch in batches:
-            sizes, one, two, parts, signs = [], [], [], [], []
+            sizes, one, two, parts, signs, folds = [], [], [], [], [], []
             for _, found in _sets(batch, p):
                 n = len(found)
                 a, b = _print(found)
@@ -162,20 +170,21 @@ def indexed_sets(docs: DataFrame, frequent, p: JaccardJoin) -> DataFrame:
                 sizes.append(n), one.append(a), two.append(b)
                 parts.append(ordered[: prefix_length(n, p.least, p.whole) if n else 0].view(np.int64))
                 signs.append(_signature(found))
+                folds.append(np.bitwise_xor.reduce(signs[-1].reshape(-1, _FOLD), axis=0))
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), _lists(parts), _lists(signs)],
-                ["doc_id", "n", "node", "other", "prefix", "signature"],
+                 pa.array(two, pa.int64()), _lists(parts), _lists(signs), _lists(folds)],
+                ["doc_id", "n", "node", "other", "prefix", "signature", "fold"],
             )
 
     return arrow_map(
         docs, work,
-        "doc_id bigint, n bigint, node bigint, other bigint, prefix array<bigint>, signature array<bigint>",
+        "doc_id bigint, n bigint, node bigint, other bigint, prefix array<bigint>, signature array<bigint>, fold array<bigint>",
     )
 
 
 def shared_entries(classes: DataFrame, shared, p: JaccardJoin) -> DataFrame:
-    """Rows ``(token, node, n, pos)`` for prefix shingles that the bitmap holds."""
+    """Rows ``(token, node, n, pos, doc_id)`` for prefix shingles that the bitmap holds."""
 
     def work(batches):
         bitmap = _value(shared)
@@ -188,12 +197,14 @@ def shared_entries(classes: DataFrame, shared, p: JaccardJoin) -> DataFrame:
             keep = _marked(values.view(np.uint64), bitmap, p.bits)
             node, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
             yield pa.record_batch(
-                [pa.array(values[keep]), pa.array(node[row[keep]]), pa.array(size[row[keep]]), pa.array(place[keep])],
-                ["token", "node", "n", "pos"],
+                [pa.array(values[keep]), pa.array(node[row[keep]]), pa.array(size[row[keep]]), pa.array(place[keep]),
+                 batch.column("doc_id").take(pa.array(row[keep]))],
+                ["token", "node", "n", "pos", "doc_id"],
             )
 
     return arrow_map(
-        classes.select("node", "n", "prefix"), work, "token bigint, node bigint, n bigint, pos bigint"
+        classes.select("node", "n", "prefix", "doc_id"), work,
+        "token bigint, node bigint, n bigint, pos bigint, doc_id bigint",
     )
 
 
@@ -283,7 +294,7 @@ def jaccard_groups(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> Data
         classes.alias("c"),
         F.expr("k.doc_id <=> c.doc_id AND k.node = c.node AND k.other = c.other"), "left_semi",
     )
-    posted = stage(chosen.select("node", "n", "prefix", "signature"), "posted")
+    posted = stage(chosen.select("node", "n", "prefix", "signature", "fold", "doc_id"), "posted")
     twice = posted.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
     shared = bitmap_of(twice, "token", p.bits)
     links = _links(docs, classes, posted, shared, p) if shared is not None else None
@@ -306,56 +317,114 @@ def jaccard_groups(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> Data
     )
 
 
+class _Sets:
+    """The sets read so far; what is missing is read from the texts when it is asked for."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, p: JaccardJoin):
+        self.docs, self.classes, self.p = docs, classes, p
+        self.known: DataFrame | None = None
+
+    def of(self, nodes: DataFrame) -> DataFrame | None:
+        if self.known is not None:
+            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
+        found = sets_of(nodes, self.docs, self.classes, self.p)
+        if found is not None:
+            if self.known is not None:
+                found = self.known.unionByName(found.join(self.known.select("node"), "node", "left_anti"))
+            self.known = found
+        return self.known
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of lists that still hold sets of different components."""
+    tied = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = tied.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return stage(tied.join(mixed.select("token"), "token", "left_semi"), "open")
+
+
+def _pairs_left(open_lists: DataFrame) -> tuple[int, float]:
+    """Entries of the open lists, and pairs of entries in different components."""
+    by_root = open_lists.groupBy("token", "root").agg(F.count("*").cast("double").alias("c"))
+    by_token = by_root.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    row = by_token.agg(
+        F.coalesce(F.sum("c"), F.lit(0.0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("own")) / 2), F.lit(0.0))
+    ).first()
+    return int(row[0]), float(row[1])
+
+
 def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: JaccardJoin) -> DataFrame | None:
     """Rows ``(node, root)`` for every class that is linked with another."""
     entries = stage(shared_entries(posted, shared, p), "entries")
-    heads = (
-        entries.groupBy("token").agg(F.min(F.struct("n", "node")).alias("pivot"), F.max(F.struct("n", "node")).alias("top"))
-        .where("pivot <> top").select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("n_p"))
-    )
-    lists = stage(entries.join(heads, "token"), "lists")
-
-    # Every set against its lists' pivots.
-    near = F.col("n") * p.least <= F.col("n_p") * p.whole  # a pivot is the smallest of its list
-    stars = lists.where((F.col("node") != F.col("pivot")) & near).select(
-        F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_p").alias("n_b")
-    ).distinct()
-
-    signatures = posted.select("node", "signature")
-    stars = stage(possible(stars, signatures, p).distinct(), "star-pairs")
-    sets = sets_of(_nodes(stars), docs, classes, p)
-    if sets is None:
-        sets = docs.sparkSession.createDataFrame([], "node bigint, items array<bigint>")
-    to_pivot = stage(compared(stars, sets), "stars")
+    several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    lists = stage(entries.join(several.select("token"), "token", "left_semi"), "lists")
+    signatures, sets = posted.select("node", "signature"), _Sets(docs, classes, p)
+    nothing = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
     is_link = _alike(F.col("shared"), F.col("n_a"), F.col("n_b"), p)
-    first = to_pivot.where(is_link).select("a", "b")
-    roots = stage(components(first), "roots")
+    links, roots, pivots = None, nothing, None
+
+    # Every set against pivots of its lists. The first pivot of a list is its first
+    # document, mostly one for all lists of a group of copies; after that, while pairs
+    # between components are many more than entries, each list tries one of its own.
+    open_lists = _with_roots(lists, roots)
+    for turn in range(p.rounds):
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "node") if turn == 0 else F.struct(
+            F.xxhash64("node", "token", F.lit(turn)), "node"
+        )
+        heads = open_lists.groupBy("token").agg(
+            F.min_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("root").alias("root_p")), order).alias("head")
+        ).select("token", "head.*")
+        small_n, large_n = F.least("n", "n_p"), F.greatest("n", "n_p")
+        seated = open_lists.join(heads, "token")
+        stars = seated.where(
+            (F.col("root") != F.col("root_p")) & (small_n * p.whole >= large_n * p.least)
+        ).select(
+            F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_p").alias("n_b")
+        ).distinct()
+        stars = stage(possible(stars, signatures, p).distinct(), "star-pairs")
+        known = sets.of(_nodes(stars))
+        if known is None:
+            if turn == 0:
+                pivots = None
+            break
+        found = stage(compared(stars, known), "stars")
+        if turn == 0:
+            pivots = seated.select("token", "pivot").distinct(), found.select(
+                F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("shared").alias("with_pivot")
+            )
+        new = stage(found.where(is_link).select("a", "b"), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        roots = stage(components(links), "roots")
+        open_lists = _with_roots(lists, roots)
+        count, left = _pairs_left(open_lists)
+        if left <= 2 * count:
+            break
 
     # What the pivots leave open: sets of one list in different components.
-    tied = lists.join(roots, "node", "left").select(
-        "token", "node", "n", "pos", "pivot", F.coalesce("root", "node").alias("root")
-    )
-    open_lists = tied.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    known = to_pivot.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("shared").alias("with_pivot"))
+    if pivots is None:
+        left_open = open_lists.withColumn("pivot", F.lit(None).cast("bigint")).withColumn("with_pivot", F.lit(None).cast("bigint"))
+    else:
+        left_open = open_lists.join(pivots[0], "token", "left").join(pivots[1], ["node", "pivot"], "left")
     left_open = stage(
-        tied.join(open_lists, "token", "left_semi").where("node <> pivot").join(known, ["node", "pivot"], "left"),
-        "open",
+        left_open.join(posted.select("node", "fold"), "node")
+        .select("token", "node", "n", "pos", "root", "with_pivot", "fold"), "left-open",
     )
     step = math.log(p.whole / p.least)
     band = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
     n, pos = F.col("n"), F.col("pos")
     reach = F.floor(((n - pos) * (p.whole + p.least) - n * p.least) / p.least)  # largest partner by position
     least = F.ceil(n * p.least / p.whole)
+    kept = ("node", "n", "pos", "root", "with_pivot", "fold")
     probes = left_open.where(reach >= least).select(
-        "token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root", "with_pivot")],
+        "token", *[F.col(c).alias(f"{c}_a") for c in kept],
         F.explode(F.sequence(band(least), band(F.least(n, reach)))).alias("band"),
     )
-    index = left_open.select(
-        "token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root", "with_pivot")], band(n).alias("band")
-    )
+    index = left_open.select("token", *[F.col(c).alias(f"{c}_b") for c in kept], band(n).alias("band"))
     a, b = F.col("n_a"), F.col("n_b")
     with_a, with_b = F.col("with_pivot_a"), F.col("with_pivot_b")
     most = F.least(with_a, with_b) + F.least(a - with_a, b - with_b)  # shared through the pivot, and beside it
+    differing = sum(F.bit_count(F.col("fold_a")[i].bitwiseXOR(F.col("fold_b")[i])) for i in range(_FOLD))
     pairs = probes.join(
         index,
         (probes.token == index.token) & (probes.band == index.band)
@@ -363,14 +432,15 @@ def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: Ja
         & ((a > b) | ((a == b) & (F.col("node_a") > F.col("node_b"))))
         & (b * p.whole >= a * p.least)
         & _alike(F.least(a - F.col("pos_a"), b - F.col("pos_b")), a, b, p)
-        & F.coalesce(_alike(most, a, b, p), F.lit(True)),
+        & F.coalesce(_alike(most, a, b, p), F.lit(True))
+        & _alike(F.floor((a + b - differing) / 2), a, b, p),
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
-    pairs = stage(possible(pairs, signatures, p).distinct(), "open-pairs")
-    missing = sets_of(_nodes(pairs).join(sets.select("node"), "node", "left_anti"), docs, classes, p)
-    if missing is not None:
-        sets = sets.unionByName(missing.join(sets.select("node"), "node", "left_anti"))
-    second = compared(pairs, sets).where(is_link).select("a", "b")
-    return components(first.unionByName(second))
+    pairs = stage(possible(pairs, signatures, p), "open-pairs")
+    known = sets.of(_nodes(pairs))
+    if known is not None:
+        second = compared(pairs, known).where(is_link).select("a", "b")
+        links = second if links is None else links.unionByName(second)
+    return None if links is None else components(links)
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
