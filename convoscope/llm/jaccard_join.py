@@ -54,7 +54,7 @@ class JaccardJoin:
     whole: int = 100
     frequent: int = 8
     bits: int = 26
-    rounds: int = 2
+    rounds: int = 1
 
 
 def prefix_length(n, least: int, whole: int):
