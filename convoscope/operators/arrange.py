@@ -89,9 +89,25 @@ def arrange(
     if largest <= limit:
         # Every chat fits: any stored slice column is not needed.
         return Arranged(rows.drop("slice"), params, sliced=False, total=total)
-    if "slice" in rows.columns:
+    if "slice" in rows.columns and slices_hold(rows, limit):
         return Arranged(rows, params, sliced=True, total=total)
-    return Arranged(with_slices(rows, total, limit), params, sliced=True, total=total)
+    return Arranged(with_slices(rows.drop("slice"), total, limit), params, sliced=True, total=total)
+
+
+def slices_hold(rows: DataFrame, limit: int) -> bool:
+    """Whether a stored ``slice`` column still cuts every chat as windows need it.
+
+    Rows added or changed since it was written, or another limit, make it stale. It
+    holds if no slice is null or above ``limit`` and the slices of a chat, in their
+    order, cover stretches of (time, id) that do not overlap: one row per slice.
+    """
+    key = F.struct("us", "msg_id")
+    spans = rows.groupBy("chat_id", "slice").agg(
+        F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")
+    )
+    before = F.lag("hi").over(Window.partitionBy("chat_id").orderBy("slice"))
+    bad = (F.col("slice").isNull()) | (F.col("n") > limit) | (before >= F.col("lo"))
+    return spans.withColumn("_bad", F.coalesce(bad, F.lit(False))).filter("_bad").isEmpty()
 
 
 def slice_layout(rows: DataFrame, total: int, limit: int) -> DataFrame:

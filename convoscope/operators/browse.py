@@ -16,10 +16,8 @@ from convoscope.functions.text import is_blank
 from convoscope.operators.arrange import arrange, running_sums
 from convoscope.params import DEFAULT, Params
 
-# Fixed value: the largest page a caller may ask for.
-MAX_PAGE = 1_000
-#: Ids given as Python values travel inside the plan; longer lists come as a DataFrame.
-MAX_LITERAL_IDS = 10_000
+#: Ids given as Python values travel inside the plan up to here; more become a table.
+LITERAL_IDS = 10_000
 
 
 def list_messages(
@@ -29,13 +27,35 @@ def list_messages(
     limit: int = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """Q1: one page in chronological order; Spark keeps only the page's rows per task."""
+    """Q1: one page in chronological order; Spark keeps only the page's rows per task.
+
+    ``limit`` is taken as given. For pages far into a large table use
+    :func:`messages_after`, which does not pass over the rows before the page.
+    """
     found = messages
     if chat_id is not None:
         found = found.filter(F.col("chat_id") == chat_id)
     if sender_id is not None:
         found = found.filter(F.col("sender_id") == sender_id)
-    return found.orderBy("ts", "msg_id").offset(offset).limit(min(limit, MAX_PAGE))
+    return found.orderBy("ts", "msg_id").offset(offset).limit(limit)
+
+
+def messages_after(
+    messages: DataFrame,
+    after: tuple[object, int] | None = None,
+    chat_id: int | None = None,
+    sender_id: str | None = None,
+    limit: int = 100,
+) -> DataFrame:
+    """Q1 by key: the page that follows the message ``(ts, msg_id)``, or the first page.
+
+    However far into the table, each task keeps ``limit`` rows.
+    """
+    found = messages
+    if after is not None:
+        ts, msg_id = after
+        found = found.filter((F.col("ts") > F.lit(ts)) | ((F.col("ts") == F.lit(ts)) & (F.col("msg_id") > msg_id)))
+    return list_messages(found, chat_id, sender_id, limit)
 
 
 def chat_pages(
@@ -59,8 +79,9 @@ def find_messages(
         keys = [name for name in ("chat_id", "msg_id") if name in msg_ids.columns]
         return found.join(msg_ids.select(*keys).distinct(), keys, "left_semi")
     wanted = list(msg_ids)
-    if len(wanted) > MAX_LITERAL_IDS:
-        raise ValueError(f"pass more than {MAX_LITERAL_IDS} ids as a DataFrame")
+    if len(wanted) > LITERAL_IDS:
+        ids = messages.sparkSession.createDataFrame([(i,) for i in wanted], "msg_id bigint")
+        return found.join(ids.distinct(), "msg_id", "left_semi")
     return found.filter(F.col("msg_id").isin(wanted))
 
 

@@ -35,10 +35,8 @@ from convoscope.schema import DECISIONS
 from convoscope.session import ensure_checkpoint_dir, ship_package
 
 MESSAGE_KEY = ("chat_id", "msg_id")
-#: States per model task while there are fewer than fill the session's partitions.
+#: Rows whose states one model task takes, so tasks do not grow with the input.
 STATES_PER_TASK = 1_000
-#: Most messages a conversation window may hold.
-MAX_WINDOW = 200
 
 _ANSWER = (
     "struct<question_key:string,decision_type:string,choice:string,number:double,"
@@ -163,8 +161,7 @@ def score(
     keyed = packed.withColumn("state_key", key)
     states = packed.select("state").distinct().withColumn("state_key", key)
     # A model call costs far more than its bytes, so tasks are not merged by size.
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tasks = parallelism or max(1, min(most, math.ceil(total / STATES_PER_TASK)))
+    tasks = parallelism or max(1, math.ceil(total / STATES_PER_TASK))
     answers = states.repartition(tasks, "state_key").mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
     carried = [name for name in rows.columns if name not in state]
     answered = lookup(
@@ -243,8 +240,8 @@ def conversation_windows(messages: DataFrame, n: int = 20, which: str = "oldest"
     ``which`` is ``oldest`` or ``latest``. The rank filter runs before the shuffle
     too, so a chat of any size sends at most ``n`` rows per task.
     """
-    if not 1 <= n <= MAX_WINDOW:
-        raise ValueError(f"a window holds 1 to {MAX_WINDOW} messages")
+    if n < 1:
+        raise ValueError("a window holds at least one message")
     if which not in ("oldest", "latest"):
         raise ValueError("which is 'oldest' or 'latest'")
     us = F.col("us") if "us" in messages.columns else wall_micros(F.col("ts"))

@@ -33,8 +33,6 @@ from convoscope.session import ensure_checkpoint_dir
 BY_SENDER = list(W.BY_SENDER)
 #: Hours counted as late night.
 NIGHT_HOURS = range(0, 5)
-#: Chats with more members keep them as rows only, never as one nested array.
-NESTED_MEMBERS = 1_000
 
 PARTS = ("timeline", "latency", "words")
 
@@ -537,24 +535,25 @@ def full_profile(
     params: Params = DEFAULT,
     lexicon: Lexicon = DEFAULT_LEXICON,
     chats: DataFrame | None = None,
-    nested_members: int = NESTED_MEMBERS,
+    nested: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(chats, participants)``, the chats with their participants nested.
+    """``(chats, participants)``: a row per chat and a row per (chat, sender).
 
-    The array is ordered by volume. It is filled for chats of at most
-    ``nested_members`` members and null for larger ones, whose members are all
-    present in the second result, as everyone's are.
+    With ``nested`` each chat also carries all its participants as an array ordered by
+    volume. That holds a chat's members in one row, so it is for chats whose members
+    fit one; the second result is complete either way.
     """
     facts = participant_facts(messages, params)
     members = _nested(facts)
     profile = chat_profile(messages, params, lexicon, chats, facts)
+    if not nested:
+        return profile, members
     entry = F.struct(
         (-F.col("message_count")).alias("_order"), *[name for name in members.columns if name != "chat_id"]
     )
     # The hourly map keeps a struct from being ordered whole, so order by two plain fields.
     arrays = (
-        _nested(facts.filter(F.col("chat_members") <= nested_members))
-        .groupBy("chat_id")
+        members.groupBy("chat_id")
         .agg(F.collect_list(entry).alias("participants"))
         .withColumn(
             "participants",

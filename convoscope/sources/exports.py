@@ -95,7 +95,9 @@ def stream_documents(spark: SparkSession, path: str, files_per_batch: int) -> Da
 
 def read_message_lines(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """S1 for NDJSON: one message per line with ``chat_id`` beside the item's fields."""
-    lines = spark.read.text(path).withColumn("source_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).withColumns(
+        {"source_file": F.col("_metadata.file_path"), "source_block": F.col("_metadata.file_block_start")}
+    )
     return message_lines(lines, mode).filter(F.col("item").isNotNull())
 
 
@@ -103,7 +105,11 @@ def message_lines(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Parse a ``value`` column of JSON lines; batch and streaming alike."""
     parse = F.try_parse_json if mode == "PERMISSIVE" else F.parse_json
     file = F.col("source_file") if "source_file" in lines.columns else F.lit("")
-    order = F.struct(file.alias("source_file"), F.lit(0).alias("place"))
+    block = F.col("source_block") if "source_block" in lines.columns else F.lit(0).cast("bigint")
+    # Lines of a block are read in order by one task, so the counter orders them.
+    order = F.struct(
+        file.alias("source_file"), block.alias("block"), F.monotonically_increasing_id().alias("place")
+    )
     # A generator's output, so that filters on the item do not parse the line again.
     item = lines.select(
         order.alias("source_order"),

@@ -47,8 +47,10 @@ def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``base`` holds each key once. Rows within ``new`` may repeat a key; ``batch_seq``
     then orders them. Replaced rows are taken out of ``base`` by an anti join on the
-    keys, so a small batch is broadcast and the base is not moved.
+    keys, so a small batch is broadcast and the base is not moved. A stored ``slice``
+    is not true of the merged rows, so it is dropped.
     """
+    base, new = base.drop("slice"), new.drop("slice")
     if "batch_seq" in new.columns:
         fresh = latest(new, keys, "batch_seq").drop("batch_seq")
     else:
@@ -144,8 +146,38 @@ def read_batches(
 
 
 def current_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The stored messages, each as its latest batch left it."""
-    return latest(read_batches(spark, path, MESSAGES), MESSAGE_KEY, "batch").drop("batch")
+    """The stored messages, each as its latest batch left it, without deleted chats."""
+    return _standing(
+        latest(read_batches(spark, path, MESSAGES), MESSAGE_KEY, "batch"), deletions(spark, path)
+    ).drop("batch")
+
+
+def delete_stored_chats(ids: DataFrame, store: str, batch: int) -> None:
+    """S15 for a store: from now on the chats in ``ids`` are gone from what it held up to
+    and with ``batch``. A later batch that brings a chat back is read again.
+
+    Nothing is rewritten: the deletion is a batch of its own that readers honour.
+    """
+    gone = ids.select(F.col("chat_id").cast("bigint").alias("chat_id")).distinct()
+    for name in ("messages", "chats"):
+        gone.write.mode("overwrite").parquet(f"{store}/{name}_deleted/batch={batch}")
+
+
+def deletions(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows ``(chat_id, deleted_with)`` of a table's deletions, the latest of each chat."""
+    folder = f"{path}_deleted"
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    rows = spark.read.schema("chat_id bigint, batch bigint").option("basePath", folder).parquet(folder)
+    return rows.groupBy("chat_id").agg(F.max("batch").alias("deleted_with"))
+
+
+def _standing(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    if gone is None:
+        return rows
+    same = (rows["chat_id"] == gone["chat_id"]) & (rows["batch"] <= gone["deleted_with"])
+    return rows.join(gone, same, "left_anti")
 
 
 def current_decisions(spark: SparkSession, path: str) -> DataFrame:
@@ -237,6 +269,7 @@ def store_items(
 def current_chats(spark: SparkSession, store: str) -> DataFrame:
     """Chats as stored, the first ``created_at`` kept and totals recounted."""
     batches = read_batches(spark, f"{store}/chats", CHATS)
+    batches = _standing(batches, deletions(spark, f"{store}/chats"))
     newest = latest(batches, CHAT_KEY, "batch").drop("batch", "created_at")
     first = batches.groupBy(*CHAT_KEY).agg(F.min("created_at").alias("created_at"))
     chats = newest.join(first, list(CHAT_KEY)).select(*CHATS.fieldNames())

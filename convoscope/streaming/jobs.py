@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,19 +24,24 @@ def stream_import(
     tz: str = "UTC",
     files_per_batch: int = 100,
     lines: bool = True,
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Import files as they arrive in ``source``: NDJSON, or whole documents.
 
     Each micro-batch is stored under its own number, so a batch that is replayed
     after a failure replaces itself; :func:`store.current_messages` then takes the
-    latest row of each message. Memory holds one file split per task.
+    latest row of each message. Memory holds one file split per task. ``trigger`` is
+    what ``DataStreamWriter.trigger`` takes, such as ``{"processingTime": "1 minute"}``;
+    by default everything there is is imported and the query ends.
     """
     if lines:
         arriving = (
             spark.readStream.format("text")
             .option("maxFilesPerTrigger", files_per_batch)
             .load(source)
-            .withColumn("source_file", F.col("_metadata.file_path"))
+            .withColumns(
+                {"source_file": F.col("_metadata.file_path"), "source_block": F.col("_metadata.file_block_start")}
+            )
         )
     else:
         arriving = exports.stream_documents(spark, source, files_per_batch)
@@ -49,7 +56,7 @@ def stream_import(
     return (
         arriving.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

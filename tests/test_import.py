@@ -223,6 +223,27 @@ def test_delete_cascades_to_messages(spark):
     assert [r["text"] for r in left_rows.collect()] == ["y"]
 
 
+def test_stored_deletion_holds_until_a_later_batch(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "store")
+    write(source, "a.json", document([said(1), said(2)], id=5))
+    write(source, "b.json", document([said(1)], id=6))
+    store.import_exports(spark, str(source), target, 1)
+    store.delete_stored_chats(spark.createDataFrame([(5,)], "chat_id long"), target, 1)
+    assert {r["chat_id"] for r in store.current_messages(spark, f"{target}/messages").collect()} == {6}
+    assert {r["chat_id"] for r in store.current_chats(spark, target).collect()} == {6}
+    store.import_exports(spark, str(source), target, 2)
+    assert store.current_messages(spark, f"{target}/messages").count() == 3
+    assert {r["chat_id"] for r in store.current_chats(spark, target).collect()} == {5, 6}
+
+
+def test_last_line_of_a_file_wins(spark, tmp_path):
+    lines = [{"chat_id": 1, **said(n % 5, f"version {n}")} for n in range(40)]
+    write(tmp_path / "in", "part.json", "\n".join(json.dumps(item) for item in lines))
+    store.import_exports(spark, str(tmp_path / "in"), str(tmp_path / "store"), 1, lines=True)
+    rows = store.current_messages(spark, f"{tmp_path}/store/messages").orderBy("msg_id").collect()
+    assert [r["text"] for r in rows] == [f"version {n}" for n in range(35, 40)]
+
+
 def test_rederive_fills_markers_and_keeps_text(spark):
     stored = evolve(
         messages(spark, [("u1", 0, "sorry, love", {"duration_seconds": 4, "content_type": "odd"})]).drop(

@@ -24,7 +24,7 @@ def exchange(spark):
 
 @pytest.mark.parametrize("params", [Params(), Params(rows_per_slice=1)])
 def test_profile_of_an_exchange(spark, exchange, params):
-    chats, members = P.full_profile(exchange, params)
+    chats, members = P.full_profile(exchange, params, nested=True)
     chat = chats.first()
     assert [p["sender_id"] for p in chat["participants"]] == ["u1", "u2"]
     assert chat["total_messages"] == 3
@@ -45,9 +45,9 @@ def test_profile_of_an_exchange(spark, exchange, params):
     assert members.count() == 2
 
 
-def test_large_chats_keep_members_as_rows(spark, exchange):
-    chats, members = P.full_profile(exchange, nested_members=1)
-    assert chats.first()["participants"] is None
+def test_members_are_rows_unless_nesting_is_asked_for(spark, exchange):
+    chats, members = P.full_profile(exchange)
+    assert "participants" not in chats.columns
     assert members.count() == 2
 
 
@@ -145,6 +145,15 @@ def test_pages_and_folds(spark):
     assert [r["msg_id"] for r in B.list_messages(df, chat_id=1, limit=3, offset=2).collect()] == [3, 4, 5]
     assert [r["msg_id"] for r in B.list_messages(df, sender_id="u2").collect()] == [1, 4, 7, 10]
     assert B.list_messages(df, chat_id=9).count() == 0
+    third = df.filter("msg_id = 3").first()
+    after = B.messages_after(df, (third["ts"], 3), limit=3)
+    assert [r["msg_id"] for r in after.collect()] == [4, 5, 6]
+    assert B.messages_after(df, limit=2).count() == 2
+    many = spark.range(1200).selectExpr(
+        "1L AS chat_id", "id AS msg_id", "'u1' AS sender_id", "timestamp_ntz'2026-01-01 00:00:00' AS ts"
+    )
+    assert B.list_messages(many, limit=1200).count() == 1200
+    assert B.find_messages(many, range(20_000)).count() == 1200
     assert [r["msg_id"] for r in B.find_messages(df, [2, 5, 99], chat_id=1).orderBy("msg_id").collect()] == [2, 5]
     for params in (Params(), Params(rows_per_slice=2)):
         page = B.chat_pages(df, limit=3, offset=4, params=params)

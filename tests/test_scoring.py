@@ -160,7 +160,7 @@ def test_message_and_conversation_questions(spark):
         ("chat", None, "overall_sentiment"),
     }
     with pytest.raises(ValueError):
-        S.conversation_windows(df, n=201)
+        S.conversation_windows(df, n=0)
 
 
 def stored(spark, rows):

@@ -47,6 +47,25 @@ def crowd(spark):
     return frame.repartition(3).cache()
 
 
+@pytest.mark.parametrize("name", ["neighbours", "latency_stats", "bursts", "turn_taking", "reply_latency"])
+def test_upsert_on_a_compacted_table(spark, crowd, tmp_path, name):
+    from convoscope.sources import store
+
+    stored = store.compact(crowd, str(tmp_path / "flat"), SLICED)
+    assert "slice" in stored.columns
+    changed = crowd.filter("msg_id % 13 = 0")
+    merged = store.upsert_messages(stored, changed)
+    stale = stored.join(changed.select("chat_id", "msg_id"), ["chat_id", "msg_id"], "left_anti").unionByName(
+        changed, allowMissingColumns=True
+    )
+    other_limit = Params(rows_per_slice=3, tokens_per_bucket=11)
+    expected = rows_of(OPERATORS[name](crowd, PLAIN))
+    assert rows_of(OPERATORS[name](merged, SLICED)) == expected
+    assert rows_of(OPERATORS[name](stale, SLICED)) == expected
+    assert rows_of(OPERATORS[name](stored, other_limit)) == expected
+    assert rows_of(OPERATORS[name](stored, SLICED)) == expected
+
+
 def rows_of(df):
     names = sorted(df.columns)
     return sorted((tuple(row[name] for name in names) for row in df.collect()), key=str)
