@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoscope.llm import bytewords as bw
-from convoscope.llm.common import annotate, uniform
+from convoscope.llm.common import annotate, small, uniform
 
 UNKNOWN = "und"
 
@@ -261,7 +261,7 @@ def train(texts: list[str], gold: list[int], labels: tuple[str, ...], p: CrfPara
 def language_sample(docs: DataFrame, allowed: Column, p: CrfParams) -> DataFrame:
     """At most ``per_language`` texts ``(lang, text)`` for each language, by hash of id."""
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    totals = small(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
     keys = known.select("doc_id", "lang", uniform("doc_id", seed=p.seed).alias("_u"))
     near = keys.join(totals, "lang").where(F.col("_u") * F.col("_n") <= 1.5 * p.per_language + 20)
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id")))
