@@ -217,8 +217,8 @@ def wanted_sets(docs: DataFrame, wanted, p: JaccardJoin) -> DataFrame:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             inside = _marked(ids, bitmap, p.bits)
             chosen = batch.filter(pa.array(inside))
-            if chosen.num_rows:
-                found = [f for _, f in _sets(chosen, p)]
+            for low in range(0, chosen.num_rows, 500):  # whole sets are as large as texts
+                found = [f for _, f in _sets(chosen.slice(low, 500), p)]
                 yield pa.record_batch(
                     [pa.array([_print(f)[0] for f in found], pa.int64()), _lists([f.view(np.int64) for f in found])],
                     ["node", "items"],

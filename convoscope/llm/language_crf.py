@@ -29,8 +29,8 @@ from convoscope.llm.common import annotate, small, uniform
 
 UNKNOWN = "und"
 
-#: Characters that are worked on at once: many chains side by side, within some 200 MB.
-CHUNK = 1_000_000
+#: Characters that are worked on at once: many chains side by side, within some 80 MB.
+CHUNK = 400_000
 
 
 @dataclass(frozen=True)
