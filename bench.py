@@ -62,7 +62,7 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - started, 3)
 
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    messages = documents.filter("lang <> 'de'").count()
+    messages = documents.count()
     print(
         json.dumps(
             {

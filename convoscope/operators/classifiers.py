@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -18,7 +18,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from convoscope.operators.questions import CHOICE, SCORE, Question
+from convoscope.operators.questions import CHOICE, SCORE, YES_NO, Question
 
 State = Mapping[str, Any]
 Answers = Mapping[str, Mapping[str, Any]]
@@ -32,6 +32,20 @@ class Classifier(Protocol):
     def open(self) -> Predictor: ...
 
 
+@runtime_checkable
+class FrameClassifier(Protocol):
+    """A model that Spark itself runs, without a Python worker.
+
+    ``answer_states`` takes rows ``(state_key, state)``, the state as JSON, and returns
+    ``(state_key, answers)``: one struct per question with ``question_key,
+    decision_type, choice, number, confidence, probabilities``.
+    """
+
+    name: str
+
+    def answer_states(self, states: DataFrame, questions: Sequence[Question]) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class FirstOption:
     """Answers with the first option, yes, or the middle level, unless told otherwise."""
@@ -104,3 +118,36 @@ def predict_yes(model: PipelineModel, texts: DataFrame) -> DataFrame:
     return scored.withColumn("_p", vector_to_array("probability")[1]).select(
         *texts.columns, F.col("_p").alias("probability")
     )
+
+
+@dataclass(frozen=True)
+class WordWeights:
+    """Trained models as a classifier: one per yes/no question, by question key.
+
+    Each reads the state's field ``text``; a question without a model is an error.
+    """
+
+    models: Mapping[str, PipelineModel]
+    name: str = "word-weights"
+    text: str = "text"
+
+    def answer_states(self, states: DataFrame, questions: Sequence[Question]) -> DataFrame:
+        unknown = [q.key for q in questions if q.key not in self.models or q.type != YES_NO]
+        if unknown:
+            raise ValueError(f"no yes/no model for {', '.join(unknown)}")
+        rows = states.select("state_key", F.get_json_object("state", f"$.{self.text}").alias("text"))
+        answers = []
+        for place, question in enumerate(questions):
+            rows = predict_yes(self.models[question.key], rows).withColumnRenamed("probability", f"_yes_{place}")
+            yes = F.col(f"_yes_{place}")
+            answers.append(
+                F.struct(
+                    F.lit(question.key).alias("question_key"),
+                    F.lit(question.type).alias("decision_type"),
+                    F.lit(None).cast("string").alias("choice"),
+                    yes.alias("number"),
+                    F.greatest(yes, 1 - yes).alias("confidence"),
+                    F.lit(None).cast("map<string,double>").alias("probabilities"),
+                )
+            )
+        return rows.select("state_key", F.array(*answers).alias("answers"))

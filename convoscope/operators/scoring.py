@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from convoscope.functions.calendar import wall_micros
 from convoscope.functions.numbers import percent, rounded
 from convoscope.functions.text import analysis_text, is_blank
 from convoscope.operators.arrange import arrange, lookup, running_sums
-from convoscope.operators.classifiers import Classifier, Predictor
+from convoscope.operators.browse import first_per_group
+from convoscope.operators.classifiers import Classifier, FrameClassifier, Predictor
 from convoscope.operators.questions import (
     ASSESSMENT_QUESTIONS,
     BID_KEY,
@@ -133,6 +135,14 @@ def decode_answers(answer: Column) -> dict[str, Column]:
     }
 
 
+def _written(answers: DataFrame) -> DataFrame:
+    """The answers from a table of the shared folder, so that no model is run again."""
+    spark = answers.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    answers.write.parquet(folder)
+    return spark.read.schema(answers.schema).parquet(folder)
+
+
 def score(
     rows: DataFrame,
     questions: Sequence[Question],
@@ -150,6 +160,9 @@ def score(
     found with map-side combine and the answers are looked up with hot states
     salted. Returns the other columns with one row per question. ``total`` is an
     upper bound of the rows, counted if not given.
+
+    The model runs here, once: its answers are written to the shared folder, and
+    whatever reads the result reads them from there.
     """
     if not questions:
         raise ValueError("at least one question is required")
@@ -162,7 +175,13 @@ def score(
     states = packed.select("state").distinct().withColumn("state_key", key)
     # A model call costs far more than its bytes, so tasks are not merged by size.
     tasks = parallelism or max(1, math.ceil(total / STATES_PER_TASK))
-    answers = states.repartition(tasks, "state_key").mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
+    asked = states.repartition(tasks, "state_key")
+    if isinstance(classifier, FrameClassifier):
+        found = classifier.answer_states(asked, questions)
+        answers = found.select("state_key", F.col("answers").cast(f"array<{_ANSWER}>").alias("answers"))
+    else:
+        answers = asked.mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
+    answers = _written(answers)
     carried = [name for name in rows.columns if name not in state]
     answered = lookup(
         keyed.select(*carried, "state_key"),
@@ -237,8 +256,9 @@ def message_questions(
 def conversation_windows(messages: DataFrame, n: int = 20, which: str = "oldest") -> DataFrame:
     """Per chat, ``n`` messages as lines ``name: text``; blank ones are dropped.
 
-    ``which`` is ``oldest`` or ``latest``. The rank filter runs before the shuffle
-    too, so a chat of any size sends at most ``n`` rows per task.
+    ``which`` is ``oldest`` or ``latest``. Rows are ranked twice: among those of some
+    input partitions first, then the best of these per chat, so no task holds ``n``
+    rows of every input partition of a large chat.
     """
     if n < 1:
         raise ValueError("a window holds at least one message")
@@ -249,9 +269,7 @@ def conversation_windows(messages: DataFrame, n: int = 20, which: str = "oldest"
         "chat_id", us.alias("us"), "msg_id", F.col("sender_name").alias("sender"), analysis_text().alias("text")
     )
     order = [F.col("us"), F.col("msg_id")] if which == "oldest" else [F.desc("us"), F.desc("msg_id")]
-    ranked = rows.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("chat_id").orderBy(*order))
-    ).filter(F.col("_rank") <= n)
+    ranked = first_per_group(rows, ["chat_id"], order, n)
     line = F.struct("us", "msg_id", F.concat("sender", F.lit(": "), "text").alias("line"))
     return (
         ranked.filter(~is_blank(F.col("text")))
@@ -412,11 +430,10 @@ def run_assessment(
 ) -> DataFrame:
     """C5 and C7 together: new answers about messages and about replies to their bids.
 
-    Model answers are checkpointed before they are read again, so no model is run a
+    Model answers are written before they are read again, so no model is run a
     second time for the reply step or after the loss of an executor.
     """
-    ensure_checkpoint_dir(messages.sparkSession)
-    fresh = assess(messages, decisions, classifier, offset, limit, params=params).checkpoint()
+    fresh = assess(messages, decisions, classifier, offset, limit, params=params)
     known = decisions.select(*DECISIONS.fieldNames()).unionByName(fresh)
     return fresh.unionByName(score_replies(messages, known, classifier, params))
 
@@ -475,7 +492,7 @@ def decisions_for(
     chat_id: int | None = None,
     msg_ids: Iterable[int] | None = None,
 ) -> DataFrame:
-    """C11: stored answers of some targets, by question key."""
+    """C11: stored answers of some targets; sort what is shown, by ``question_key``."""
     found = decisions.filter(F.col("target_type") == target_type)
     if chat_id is not None:
         found = found.filter(F.col("chat_id") == chat_id)
@@ -484,7 +501,7 @@ def decisions_for(
     if targets is not None:
         keys = [name for name in MESSAGE_KEY if name in targets.columns]
         found = found.join(targets.select(*keys).distinct(), keys, "left_semi")
-    return found.orderBy("chat_id", "msg_id", "question_key")
+    return found
 
 
 def with_sender(decisions: DataFrame, messages: DataFrame) -> DataFrame:

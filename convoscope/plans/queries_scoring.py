@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from convoscope.functions import text as T
 from convoscope.operators import questions as Q
 from convoscope.operators import scoring as S
-from convoscope.operators.classifiers import LengthRule, predict_yes, train_text_classifier
+from convoscope.operators.classifiers import LengthRule, WordWeights, train_text_classifier
 from convoscope.plans.assessment import chat_assessment, participant_assessment
 from convoscope.plans.queries_lexical import tokens_sql
 from convoscope.plans.registry import percent, register, rounded, with_ctes
@@ -334,26 +334,57 @@ def custom_questions(spark, folder):
     return S.score_custom(rows, CUSTOM, RULE, ["text"]).select(*_NAMES)
 
 
-@register("trained_yes_no_model")
-def trained_yes_no_model(spark, folder):
-    """A yes/no question answered by word weights learnt from ``labels``."""
+TRAINED = {"is_toxic": {"type": "noul", "instructions": "Is the text toxic?"}}
+
+
+def _trained_answers(spark, folder):
+    """A yes/no question about every document, by word weights learnt from ``labels``."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     labelled = documents.join(table(spark, folder, "labels"), "doc_id").select(
         "text", F.col("toxic").cast("double").alias("label")
     )
-    scored = predict_yes(train_text_classifier(labelled), documents)
-    answer = F.struct(
-        F.lit("is_toxic").alias("question_key"),
-        F.lit(Q.YES_NO).alias("decision_type"),
-        F.lit(None).cast("string").alias("choice"),
-        F.col("probability").alias("number"),
-        F.greatest(F.col("probability"), 1 - F.col("probability")).alias("confidence"),
-        F.create_map().cast("map<string,double>").alias("probabilities"),
+    model = WordWeights({"is_toxic": train_text_classifier(labelled)})
+    return S.score_custom(documents, TRAINED, model, ["text"], spread_by="doc_id")
+
+
+@register("trained_yes_no_model")
+def trained_yes_no_model(spark, folder):
+    return _trained_answers(spark, folder).select(
+        "doc_id", "question_key", "result_value", F.round("confidence", 6).alias("confidence")
     )
-    decoded = S.decode_answers(answer)
-    return scored.select(
+
+
+@register(
+    "trained_answer_shape",
+    "SELECT doc_id, 'is_toxic' AS question_key, 'noul' AS decision_type, TRUE AS consistent FROM documents",
+)
+def trained_answer_shape(spark, folder):
+    """What is determined of a trained model's answers: a value that follows from the
+    probabilities, which add up to one, and their larger one as confidence."""
+    yes, no = F.col("probabilities")["true"], F.col("probabilities")["false"]
+    says_yes = F.col("result_value") == "true"
+    return _trained_answers(spark, folder).select(
         "doc_id",
-        decoded["question_key"].alias("question_key"),
-        decoded["result_value"].alias("result_value"),
-        F.round(decoded["confidence"], 6).alias("confidence"),
+        "question_key",
+        "decision_type",
+        (
+            F.col("result_value").isin("true", "false")
+            & (says_yes == (yes >= Q.YES_THRESHOLD))
+            & (F.abs(yes + no - 1) < 1e-3)
+            & (F.col("confidence") == F.greatest(yes, 1 - yes))
+        ).alias("consistent"),
+    )
+
+
+@register(
+    "trained_answer_agreement",
+    """SELECT toxic, count(*) AS labelled, TRUE AS mostly_agrees
+       FROM documents JOIN labels USING (doc_id) GROUP BY toxic""",
+)
+def trained_answer_agreement(spark, folder):
+    """Per label, whether most answers about the documents learnt from agree with it."""
+    answers = _trained_answers(spark, folder).join(table(spark, folder, "labels"), "doc_id")
+    agrees = (F.col("result_value") == "true") == (F.col("toxic") == 1)
+    return answers.groupBy("toxic").agg(
+        F.count("*").alias("labelled"), (F.avg(agrees.cast("int")) > 0.8).alias("mostly_agrees")
     )

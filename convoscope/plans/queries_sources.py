@@ -25,10 +25,12 @@ from convoscope.streaming.jobs import stream_sessions
 def _items(spark, folder):
     """Documents as export items, in every spelling the format has.
 
-    German ones are service entries, Spanish ones carry only a unix time and a
-    sender under ``actor``, French ones have their text in pieces.
+    Every document is a message; German ones have a service entry beside it. Spanish
+    ones carry only a unix time and a sender under ``actor``, French ones have their
+    text in pieces.
     """
-    docs = spread(table(spark, folder, "documents"))
+    kinds = F.when(F.col("lang") == "de", F.array(F.lit("message"), F.lit("service"))).otherwise(F.array(F.lit("message")))
+    docs = spread(table(spark, folder, "documents")).withColumn("kind", F.explode(kinds))
     lang = F.col("lang")
     half = F.expr("cast(length(text) / 2 as int)")
     text = F.when(
@@ -58,13 +60,12 @@ def _items(spark, folder):
     media = F.when(lang == "fr", F.lit(',"media_type":"video_file","duration_seconds":"12"')).when(
         lang == "es", F.lit(',"photo":null,"forwarded_from":"x"')
     ).otherwise(F.lit(',"reply_to_message_id":null,"reply_to_msg_id":3'))
-    kind = F.when(lang == "de", "service").otherwise("message")
     return docs.select(
         F.concat(
             F.lit('{"chat_id":'),
             F.expr("substring(source, 4)"),
             F.lit(',"type":"'),
-            kind,
+            F.col("kind"),
             F.lit('","id":'),
             F.col("doc_id").cast("string"),
             F.lit(","),
@@ -89,7 +90,7 @@ def _items(spark, folder):
                  AS content_type,
                CAST(NULL AS BIGINT) AS reply_to_msg_id, sender_id = 'es' AS is_forwarded,
                CAST(CASE sender_id WHEN 'fr' THEN 12 ELSE 0 END AS INTEGER) AS duration_seconds
-        FROM msg_docs WHERE sender_id <> 'de'""",
+        FROM msg_docs""",
     ),
 )
 def parsed_items(spark, folder):
@@ -100,8 +101,7 @@ def parsed_items(spark, folder):
     "imported_messages",
     with_ctes(
         MSG_DOCS_SQL,
-        "kept AS (SELECT * FROM msg_docs WHERE sender_id <> 'de')",
-        normalized_ctes("kept"),
+        normalized_ctes("msg_docs"),
         features_sql("normalized", "CASE WHEN normalized_text <> '' THEN normalized_text ELSE text END"),
         select=f"""SELECT chat_id, msg_id, sender_id, ts, text, normalized_text, language,
                           {', '.join(DERIVED_COLUMNS)} FROM features""",

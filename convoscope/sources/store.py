@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -243,8 +244,20 @@ def store_items(
     """Write the messages and the chats of some export items as one batch.
 
     Where one batch holds a message twice, the later file wins, and within a
-    document the later item.
+    document the later item. Messages and chats come from one reading of the source:
+    the items are kept on the executors' disks in between, and read again only where
+    one is lost.
     """
+    items = items.persist(StorageLevel.DISK_ONLY)
+    try:
+        _store_kept_items(items, store, batch, lexicon, normalizer, tz, name)
+    finally:
+        items.unpersist()
+
+
+def _store_kept_items(
+    items: DataFrame, store: str, batch: int, lexicon: Lexicon, normalizer: Normalizer, tz: str, name: str | None
+) -> None:
     parsed = exports.parse_items(items, tz)
     once = latest(parsed, MESSAGE_KEY, "source_order").drop("source_order")
     write_batch(exports.derive(once, lexicon, normalizer), f"{store}/messages", batch)

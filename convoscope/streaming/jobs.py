@@ -69,7 +69,8 @@ def stream_sessions(
     A session closes when a gap longer than ``session_gap`` follows; it is emitted
     once the watermark has passed that gap. Rows later than ``delay`` are dropped and
     counted by the query's progress. The window merges messages whose gap equals the
-    threshold, as the batch operator does.
+    threshold, as the batch operator does. For a stream, the session's setting that
+    merges sessions in the local partition is turned on, and stays on.
     """
     timed = messages.withColumn("event_time", F.col("ts").cast("timestamp"))
     if messages.isStreaming:

@@ -14,7 +14,7 @@ from helpers import messages
 
 
 def document(items, **header):
-    return {"name": "Dana", "type": "personal_chat", "id": 12345, **header, "messages": items}
+    return {"id": 9081, "type": "private_group", "name": "Reading circle", "messages": items, **header}
 
 
 def write(folder, name, content):
@@ -24,7 +24,7 @@ def write(folder, name, content):
 
 
 def said(number, text="hi", **extra):
-    return {"id": number, "type": "message", "date": f"2026-08-21T10:00:{number % 60:02d}", "from": "Alice", "from_id": "user_1", "text": text, **extra}
+    return {"id": number, "type": "message", "date": f"2026-08-21T10:00:{number % 60:02d}", "from": "Ines", "from_id": "member7", "text": text, **extra}
 
 
 @pytest.fixture
@@ -38,15 +38,25 @@ def parse(spark, tmp_path):
 
 
 def test_plain_message(parse):
-    row = parse(said(101, "Hello world!"))[0]
-    assert (row["chat_id"], row["msg_id"], row["sender_id"], row["sender_name"]) == (12345, 101, "user_1", "Alice")
-    assert (row["text"], row["content_type"], row["is_forwarded"], row["duration_seconds"]) == ("Hello world!", "text", False, 0)
-    assert row["ts"] == datetime.datetime(2026, 8, 21, 10, 0, 41)
+    row = parse(said(73, "chapter four tonight"))[0]
+    assert row.asDict() | {"source_order": None} == {
+        "chat_id": 9081,
+        "msg_id": 73,
+        "sender_id": "member7",
+        "sender_name": "Ines",
+        "ts": datetime.datetime(2026, 8, 21, 10, 0, 13),
+        "text": "chapter four tonight",
+        "content_type": "text",
+        "reply_to_msg_id": None,
+        "is_forwarded": False,
+        "duration_seconds": 0,
+        "source_order": None,
+    }
 
 
 def test_text_shapes(parse):
     rows = parse(
-        said(1, ["This is ", {"type": "bold", "text": "formatted"}, " text.", 7, None, {"type": "x"}]),
+        said(1, ["see ", {"type": "link", "text": "page nine"}, 7, None, {"type": "x"}, " again"]),
         said(2, "[hi]"),
         said(3, None),
         said(4, 42),
@@ -54,7 +64,7 @@ def test_text_shapes(parse):
         said(6, []),
         said(7, 'quote " and \\ back\nline'),
     )
-    assert [r["text"] for r in rows] == ["This is formatted text.", "[hi]", "", "42", "", "", 'quote " and \\ back\nline']
+    assert [r["text"] for r in rows] == ["see page nine again", "[hi]", "", "42", "", "", 'quote " and \\ back\nline']
 
 
 def test_unusable_items_are_dropped_and_counted(spark, tmp_path):
@@ -129,7 +139,7 @@ def test_headers_and_malformed(spark, tmp_path):
     write(folder, "bare.json", '{"messages": []}')
     write(folder, "broken.json", '{"messages": [')
     headers = {r["external_id"]: (r["name"], r["type"]) for r in exports.export_headers(spark, str(folder / "a b.json")).collect()}
-    assert headers == {12345: ("Dana", "personal_chat")}
+    assert headers == {9081: ("Reading circle", "private_group")}
     assert exports.export_headers(spark, str(folder / "a b.json"), name_from_file=True).first()["name"] == "a b"
     bare = exports.export_headers(spark, str(folder / "bare.json")).first()
     assert (bare["name"], bare["type"], bare["external_id"]) == ("Exported Chat", "personal_chat", 0)
@@ -144,10 +154,10 @@ def test_importing_twice_changes_nothing(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "store")
     write(source, "chat.json", document([said(1, "one?"), said(2, "two"), said(2, "two again")]))
     first = store.import_exports(spark, str(source), target, 1).first()
-    assert (first["imported"], first["total_messages"], first["name"]) == (2, 2, "Dana")
-    write(source, "chat.json", document([said(1, "one!"), said(2, "two"), said(3, "three")], name="Dana B"))
+    assert (first["imported"], first["total_messages"], first["name"]) == (2, 2, "Reading circle")
+    write(source, "chat.json", document([said(1, "one!"), said(2, "two"), said(3, "three")], name="Reading ring"))
     second = store.import_exports(spark, str(source), target, 2).first()
-    assert (second["imported"], second["total_messages"], second["name"]) == (3, 3, "Dana B")
+    assert (second["imported"], second["total_messages"], second["name"]) == (3, 3, "Reading ring")
     assert second["created_at"] == first["created_at"]
     again = store.import_exports(spark, str(source), target, 2).first()
     assert again["total_messages"] == 3
@@ -159,6 +169,28 @@ def test_importing_twice_changes_nothing(spark, tmp_path):
     ]
 
 
+def test_an_import_reads_its_source_once(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "store")
+    write(source, "chat.json", document([said(1, "one"), said(2, "two")]))
+    read = spark.sparkContext.accumulator(0)
+
+    def reader(session, path):
+        items = exports.read_exports(session, path)
+
+        def seen(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        plain = items.withColumn("item", F.to_json("item"))
+        counted = plain.mapInArrow(seen, plain.schema)
+        return counted.withColumn("item", F.parse_json("item"))
+
+    store.import_exports(spark, str(source), target, 1, reader=reader)
+    assert read.value == 2
+    assert store.current_chats(spark, target).first()["total_messages"] == 2
+
+
 def test_compacted_table_is_sliced_and_equal(spark, tmp_path):
     rows = messages(spark, [("u1", n, f"m{n}") for n in range(50)])
     compacted = store.compact(rows, str(tmp_path / "flat"), Params(rows_per_slice=10))

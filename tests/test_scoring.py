@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from convoscope.operators import scoring as S
-from convoscope.operators.classifiers import FirstOption, LengthRule
+from convoscope.operators.classifiers import FirstOption, LengthRule, WordWeights, train_text_classifier
 from convoscope.operators.questions import (
     ASSESSMENT_QUESTIONS,
     Question,
@@ -146,6 +146,29 @@ def test_equal_states_are_asked_once(spark, tmp_path, params):
     assert answers.select("msg_id").distinct().count() == 40
 
 
+def test_a_model_runs_once_however_often_its_answers_are_read(spark, nothing, tmp_path):
+    log = tmp_path / "calls.txt"
+    df = messages(spark, CHAT)
+    first = S.assess(df, nothing, Recorder(str(log), str(log)))
+    merged = upsert_decisions(first, first.filter("question_key = 'sarcasm'"))
+    assert merged.count() == first.count() == 4 * len(ASSESSMENT_QUESTIONS)
+    assert len(log.read_text().splitlines()) == 4
+
+
+def test_trained_models_answer_messages(spark, nothing):
+    texts = [("lovely day", 1.0), ("lovely walk", 1.0), ("awful day", 0.0), ("awful walk", 0.0)] * 5
+    model = train_text_classifier(spark.createDataFrame(texts, "text string, label double"), features=1 << 10)
+    said = messages(spark, [("u1", 0, "lovely"), ("u2", 9, "awful"), ("u1", 20, " ")])
+    kind, glad = WordWeights({"glad": model, "met": model}), Question("glad", "noul", "is the writer glad?")
+    found = S.assess(said, nothing, kind, questions=[glad])
+    assert values(found) == {(1, "glad"): "true", (2, "glad"): "false"}
+    both = S.message_questions(said, kind, [glad, Question("met", "noul", "did they meet?")])
+    assert both.count() == 6
+    assert both.first()["engine_metadata"] == {"model": "word-weights"}
+    with pytest.raises(ValueError):
+        S.assess(said, nothing, kind)
+
+
 def test_message_and_conversation_questions(spark):
     df = messages(spark, CHAT)
     tones = S.message_questions(df, FirstOption())
@@ -201,7 +224,7 @@ def test_values_and_means(spark):
     assert counts == {("u1", "true"): 1, ("u2", "x"): 1, ("u1", "not json {"): 1}
     assert [(r["sender_id"], r["mean"]) for r in S.mean_value_by_sender(decisions, df, "s").collect()] == [("u1", 1.5)]
     assert S.count_answered(decisions, df, "s").first()["answered"] == 2
-    assert [r["question_key"] for r in S.decisions_for(decisions, msg_ids=[1]).collect()] == ["q", "s"]
+    assert [r["question_key"] for r in S.decisions_for(decisions, msg_ids=[1]).orderBy("question_key").collect()] == ["q", "s"]
 
 
 def test_chat_answers_are_replaced_though_they_have_no_message(spark):
