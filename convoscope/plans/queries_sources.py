@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from convoscope.functions import text as T
 from convoscope.operators import browse as B
@@ -133,6 +133,76 @@ def rejected_items(spark, folder):
     return exports.rejected_counts(exports.message_lines(_items(spark, folder)))
 
 
+def _exports(spark, folder):
+    """Every document as an export document of two messages.
+
+    German ones carry no chat name, Spanish ones break off before the end.
+    """
+    docs = spread(table(spark, folder, "documents"))
+    date = F.date_format(
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))"),
+        "yyyy-MM-dd'T'HH:mm:ss",
+    )
+
+    def said(number: int, text):
+        return F.struct(
+            F.lit(number).alias("id"),
+            F.lit("message").alias("type"),
+            date.alias("date"),
+            F.col("source").alias("from_id"),
+            text.alias("text"),
+        )
+
+    whole = F.to_json(
+        F.struct(
+            F.when(F.col("lang") != "de", F.col("source")).alias("name"),
+            F.lit("private_group").alias("type"),
+            F.col("doc_id").alias("id"),
+            F.array(said(1, F.col("text")), said(2, F.reverse("source"))).alias("messages"),
+        )
+    )
+    value = F.when(F.col("lang") == "es", F.expr("left(whole, length(whole) - 1)")).otherwise(F.col("whole"))
+    return exports.parse_documents(
+        docs.withColumn("whole", whole).select(value.alias("value"), F.col("doc_id").cast("string").alias("source_file"))
+    )
+
+
+@register(
+    "exported_documents",
+    with_ctes(
+        MSG_DOCS_SQL,
+        select="""
+        SELECT doc_id AS chat_id, number AS msg_id, source AS sender_id, m.ts,
+               CASE number WHEN 1 THEN coalesce(d.text, '') ELSE reverse(source) END AS text
+        FROM documents d JOIN msg_docs m ON d.doc_id = m.msg_id,
+             (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) numbers(number)
+        WHERE lang <> 'es'""",
+    ),
+)
+def exported_documents(spark, folder):
+    found = exports.parse_items(exports.document_items(_exports(spark, folder)))
+    return found.select("chat_id", "msg_id", "sender_id", "ts", "text")
+
+
+@register(
+    "exported_headers",
+    """SELECT doc_id AS external_id, CASE lang WHEN 'de' THEN 'Exported Chat' ELSE source END AS name,
+              'private_group' AS type, count(*) * 2 AS items
+       FROM documents WHERE lang <> 'es' GROUP BY ALL""",
+)
+def exported_headers(spark, folder):
+    items = exports.document_items(_exports(spark, folder))
+    return items.groupBy("external_id", "name", "type").agg(F.count("*").alias("items"))
+
+
+@register(
+    "malformed_documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS source_file FROM documents WHERE lang = 'es'",
+)
+def malformed_documents(spark, folder):
+    return exports.malformed_documents(_exports(spark, folder)).select("source_file")
+
+
 def _revised(spark, folder):
     """A second import: English documents again with other text, and all under a new chat."""
     docs = msg_docs(spark, folder)
@@ -311,6 +381,21 @@ def ordered_timeline(spark, folder):
     return B.read_timeline(msg_events(spark, folder)).select("chat_id", "msg_id", "sender_id", "ts")
 
 
+@register(
+    "timeline_places",
+    with_ctes(
+        MSG_EVENTS_SQL,
+        select="""SELECT chat_id, msg_id, row_number() OVER (PARTITION BY chat_id ORDER BY us, msg_id) AS place
+                  FROM msg_events""",
+    ),
+)
+def timeline_places(spark, folder):
+    """The order in which the timeline delivers its rows, as their place in the chat."""
+    delivered = B.read_timeline(msg_events(spark, folder)).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("chat_id").orderBy("_at"))
+    return delivered.select("chat_id", "msg_id", place.cast("bigint").alias("place"))
+
+
 @register(
     "chat_list",
     """

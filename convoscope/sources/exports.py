@@ -66,6 +66,14 @@ def read_exports(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Da
     return document_items(documents)
 
 
+def parse_documents(texts: DataFrame) -> DataFrame:
+    """Documents held in a column ``value``, with ``source_file``, parsed as files are."""
+    parsed = F.from_json(
+        "value", _DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    )
+    return texts.select(parsed.alias("_document"), "source_file").select("_document.*", "source_file")
+
+
 def document_items(documents: DataFrame) -> DataFrame:
     """One row per item of parsed documents, with its place among them."""
     readable = documents.filter(F.col("_corrupt_record").isNull())
@@ -128,14 +136,15 @@ def message_lines(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
 
 def malformed_exports(spark: SparkSession, path: str) -> DataFrame:
     """The documents that could not be read, with the offending text."""
+    return malformed_documents(_documents(spark, path, "PERMISSIVE"))
+
+
+def malformed_documents(documents: DataFrame) -> DataFrame:
+    """S19 for parsed documents."""
     # Spark reads a corrupt-record column alone only from a materialised parse.
-    return (
-        _documents(spark, path, "PERMISSIVE")
-        .filter(F.col("_corrupt_record").isNotNull() | F.col("messages").isNull())
-        .select(
-            "source_file",
-            F.coalesce("_corrupt_record", F.lit("no message array")).alias("cause"),
-        )
+    return documents.filter(F.col("_corrupt_record").isNotNull() | F.col("messages").isNull()).select(
+        "source_file",
+        F.coalesce("_corrupt_record", F.lit("no message array")).alias("cause"),
     )
 
 
