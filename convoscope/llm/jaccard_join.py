@@ -142,16 +142,90 @@ def _value(shared):
     return None if shared is None else shared.value
 
 
-def prefix_counts(docs: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Rows ``(token)``: the first shingles by hash of every set, twice a prefix long."""
+class _Blocks:
+    """How token hashes travel to be counted: cut by the top bits of their place in a
+    bitmap of ``2**bits`` into about four blocks a shuffle partition, and in a block as
+    32-bit numbers, the rest of the place below further bits of the token."""
+
+    def __init__(self, partitions: int, bits: int):
+        self.bits = bits
+        self.top = min(max(6, (4 * partitions - 1).bit_length()), bits - 3)
+        self.rest = bits - self.top
+
+    def packed(self, tokens: np.ndarray, most: int) -> tuple[np.ndarray, list[bytes]]:
+        """Block numbers, and each block's numbers; a token in here more than ``most``
+        times is told ``most + 1`` times, so a hot one stays small."""
+        found, counts = np.unique(tokens, return_counts=True)
+        found = np.repeat(found, np.minimum(counts, most + 1))
+        place = found & np.uint64((1 << self.bits) - 1)
+        block = (place >> np.uint64(self.rest)).astype(np.int64)
+        low = place & np.uint64((1 << self.rest) - 1)
+        value = (((found >> np.uint64(self.bits)) << np.uint64(self.rest)) | low).astype(np.uint32)
+        order = np.argsort(block, kind="stable")
+        value, (blocks, first) = value[order], np.unique(block[order], return_index=True)
+        ends = np.append(first[1:], len(value))
+        return blocks, [value[i:j].tobytes() for i, j in zip(first, ends)]
+
+    def often(self, numbers: np.ndarray, most: int) -> np.ndarray:
+        """Places in the block of the numbers that occur more than ``most`` times."""
+        found, counts = np.unique(numbers, return_counts=True)
+        return np.unique(found[counts > most] & np.uint32((1 << self.rest) - 1))
+
+
+def bitmap_of_repeated(rows: DataFrame, tokens_of, most: int, p: JaccardJoin):
+    """A broadcast bitmap of the tokens that occur more than ``most`` times in all of
+    ``rows``, or None if none does; ``tokens_of`` gives the hashes of an Arrow batch.
+
+    A task sends one row a block and batch, 4 bytes a token; a block holds its share of
+    the tokens, a quarter of a shuffle partition, and is counted in one group. Tokens
+    that agree in the bits sent count as one, as they may in the bitmap.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = _Blocks(partitions, p.bits)
 
-    def work(batches):
+    def pack(batches):
         for batch in batches:
-            parts = [f[: 2 * prefix_length(len(f), p.least, p.whole)] for _, f in _sets(batch, p) if len(f)]
-            if parts:
-                yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
+            blocks, packed = cut.packed(tokens_of(batch), most)
+            if len(blocks):
+                yield pa.record_batch([pa.array(blocks), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    def count(group: pa.Table) -> pa.Table:
+        numbers = np.frombuffer(b"".join(group.column("packed").to_pylist()), dtype=np.uint32)
+        marks = np.zeros(1 << cut.rest, dtype=np.uint8)
+        marks[cut.often(numbers, most)] = 1
+        some = int(marks.any())
+        bits = [np.packbits(marks, bitorder="little").tobytes()] * some
+        return pa.table({"block": group.column("block").slice(0, some), "bits": pa.array(bits, pa.binary())})
+
+    found = arrow_map(rows, pack, "block bigint, packed binary").groupBy("block").applyInArrow(
+        count, "block bigint, bits binary"
+    ).collect()
+    if not found:
+        return None
+    out = np.zeros((1 << p.bits) // 8, dtype=np.uint8)
+    size = (1 << cut.rest) // 8
+    for row in found:
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(out)
+
+
+def frequent_shingles(docs: DataFrame, p: JaccardJoin):
+    """Bitmap of the shingles among the first by hash of many sets, twice a prefix long."""
+
+    def first(batch: pa.RecordBatch) -> np.ndarray:
+        parts = [f[: 2 * prefix_length(len(f), p.least, p.whole)] for _, f in _sets(batch, p) if len(f)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+    return bitmap_of_repeated(docs.select("text"), first, p.frequent, p)
+
+
+def shared_shingles(posted: DataFrame, p: JaccardJoin):
+    """Bitmap of the prefix shingles of two sets or more."""
+
+    def prefixes(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
-    return arrow_map(docs, work, "token bigint")
+    return bitmap_of_repeated(posted.select("prefix"), prefixes, 1, p)
 
 
 def indexed_sets(docs: DataFrame, frequent, p: JaccardJoin) -> DataFrame:
@@ -283,8 +357,7 @@ def jaccard_groups(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> Data
     by links) and ``class_id`` (the least ``doc_id`` with the same set)."""
     p = params
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counts = prefix_counts(docs, p).groupBy("token").count()
-    frequent = bitmap_of(counts.where(F.col("count") > p.frequent), "token", p.bits)
+    frequent = frequent_shingles(docs, p)
     known = stage(indexed_sets(docs, frequent, p), "sets")
 
     classes = stage(
@@ -295,8 +368,7 @@ def jaccard_groups(docs: DataFrame, params: JaccardJoin = JaccardJoin()) -> Data
         F.expr("k.doc_id <=> c.doc_id AND k.node = c.node AND k.other = c.other"), "left_semi",
     )
     posted = stage(chosen.select("node", "n", "prefix", "signature", "fold", "doc_id"), "posted")
-    twice = posted.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
-    shared = bitmap_of(twice, "token", p.bits)
+    shared = shared_shingles(posted, p)
     links = _links(docs, classes, posted, shared, p) if shared is not None else None
 
     grouped = classes.select("node", "other", "n", F.col("doc_id").alias("class_id"))
