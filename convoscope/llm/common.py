@@ -42,8 +42,18 @@ def small(rows: DataFrame, name: str, limit: int = SMALL_ROWS) -> DataFrame:
 def arrow_map(
     rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema
 ) -> DataFrame:
+    """``mapInArrow``; a worker gives the memory it freed back at the end of a task, not
+    at the end of its life, since the next stage's workers share the executor with it."""
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(work, schema)
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, schema)
 
 
 def annotate(rows: DataFrame, text: str, work: Callable[[pa.Array], list[pa.Array]], fields: str) -> DataFrame:
