@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from convoscope.session import ensure_checkpoint_dir, ship_package
 
 #: Rows up to which a summary is sent to every executor; beyond it the join shuffles.
 SMALL_ROWS = 50_000
 
+#: Rows that a worker annotates and sends back at once.
+PIECE_ROWS = 2_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -63,12 +66,19 @@ def annotate(rows: DataFrame, text: str, work: Callable[[pa.Array], list[pa.Arra
     one of ``fields`` (a DDL string); ``select("row.*")`` gives them back.
     """
     names = [part.split()[0] for part in fields.split(", ")]
+    # A text that the row holds as it is isn't sent a second time.
+    whole = [i for i, f in enumerate(rows.schema.fields) if f.name == text and f.dataType == StringType()]
+    place = whole[0] if len(whole) == 1 else None
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *work(batch.column("text"))], ["row", *names])
+            for low in range(0, batch.num_rows, PIECE_ROWS):
+                piece = batch.slice(low, PIECE_ROWS)
+                row = piece.column("row")
+                texts = piece.column("text") if place is None else row.field(place)
+                yield pa.RecordBatch.from_arrays([row, *work(texts)], ["row", *names])
 
-    packed = rows.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    packed = rows.select(F.struct("*").alias("row"), *([F.col(text).cast("string").alias("text")] if place is None else []))
     added = StructType.fromDDL(fields)
     return arrow_map(packed, run, StructType([packed.schema["row"], *added.fields]))
 
