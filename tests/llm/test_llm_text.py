@@ -14,7 +14,7 @@ from convoscope.llm.common import components
 from convoscope.llm.corpus import mixed, one_of_each
 from convoscope.llm.decontaminate import Decontamination, find_benchmark, without_benchmark
 from convoscope.llm.fingerprint import decode, encode, fingerprints, merge, sketch
-from convoscope.llm.jaccard_join import JaccardJoin, jaccard_groups
+from convoscope.llm.jaccard_join import JaccardJoin, _Blocks, jaccard_groups
 
 DOCS = "doc_id long, text string, extra string, node string, row string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,6 +88,25 @@ def test_jaccard_ties_nulls_empty(spark):
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_blocks_count_tokens_over_batches():
+    rng = np.random.default_rng(3)
+    once = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    hot = rng.integers(0, 2**63, 40).astype(np.uint64)
+    for partitions, bits in ((1, 10), (8, 26), (500, 26)):
+        cut, sent = _Blocks(partitions, bits), {}
+        for batch in (once, np.repeat(hot[:20], 9), np.repeat(hot, 1), np.repeat(hot[20:], 2)):
+            for block, packed in zip(*cut.packed(batch, 2)):
+                sent.setdefault(int(block), []).append(packed)
+        marked = {
+            (block << cut.rest) | int(low)
+            for block, parts in sent.items() for low in cut.often(np.frombuffer(b"".join(parts), dtype=np.uint32), 2)
+        }
+        expected = {int(x) & ((1 << bits) - 1) for x in hot}
+        assert expected <= marked
+        if bits == 26:
+            assert marked == expected
+
+
 def test_components_of_paths_and_stars(spark):
     pick = random.Random(2)
     nodes = list(range(300))
