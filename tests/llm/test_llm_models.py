@@ -134,6 +134,20 @@ def test_licenses(spark):
     assert found == {0: ["MIT"], 1: ["GPL-3.0"], 2: [], 3: [], 4: [], 5: ["Apache-2.0"], 6: ["GPL-3.0", "GPL-3.0"]}
 
 
+def names(text):
+    return [n["license"] for n in licenses.Matcher(licenses.TEMPLATES, licenses.LicenseParams()).matches(text)]
+
+
+OTHER = "these pages grew out of long walks along rivers and were written down by many hands over several quiet winters when nobody else had time to read or to answer any of them".split()
+
+
+def test_a_notice_within_a_line_of_other_words():
+    for name in ("MIT", "CC-BY-NC-4.0", "Apache-2.0"):
+        for n in (10, 30):
+            line = " ".join([*OTHER[: n // 2], licenses.TEMPLATES[name], *OTHER[n // 2 : n]])
+            assert names(line) == [name], (name, n)
+
+
 def test_preference_pairs(spark):
     turns = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string, prompt string")
     chosen = turns([(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, None, None, ""), (3, 0, "user", "u", "")])
