@@ -148,6 +148,11 @@ def test_a_notice_within_a_line_of_other_words():
             assert names(line) == [name], (name, n)
 
 
+def test_two_notices_on_a_line():
+    for one, two in (("MIT", "GPL-3.0"), ("CC-BY-4.0", "MIT"), ("GPL-3.0", "Apache-2.0"), ("MPL-2.0", "BSD")):
+        assert set(names(licenses.TEMPLATES[one] + " " + licenses.TEMPLATES[two])) == {one, two}
+
+
 def test_preference_pairs(spark):
     turns = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string, prompt string")
     chosen = turns([(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, None, None, ""), (3, 0, "user", "u", "")])
