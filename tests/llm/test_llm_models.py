@@ -153,6 +153,52 @@ def test_two_notices_on_a_line():
         assert set(names(licenses.TEMPLATES[one] + " " + licenses.TEMPLATES[two])) == {one, two}
 
 
+def test_a_notice_wrapped_over_lines():
+    mit = (
+        "MIT License\n\nCopyright (c) 2020 Some One\n\n"
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        'of this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction, including without limitation the rights\n"
+    )
+    assert names(mit) == ["MIT-header"]
+    assert names(mit.replace("hereby ", "").replace("associated", "related")) == []
+    assert names(mit.replace("Permission is ", "")) == ["MIT-header"]
+    for name, notice in licenses.TEMPLATES.items():
+        for every in (2, 5, 9):
+            words = notice.split()
+            lines = [" ".join(words[i : i + every]) for i in range(0, len(words), every)]
+            assert name in names("Title\n\n# " + "\n# ".join(lines) + "\n\nmore"), (name, every)
+
+
+def test_places_by_brute_force():
+    """Words that differ, against all runs of a text aligned by the longest common subsequence."""
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    pick = random.Random(5)
+    template = "a b c a d e f b g h".split()
+    for most in (0, 1, 3):
+        matcher = licenses.Matcher({"t": " ".join(template)}, licenses.LicenseParams(most_different=most / 10))
+        for _ in range(150):
+            words = list(template)
+            for _ in range(pick.randint(0, 3)):
+                i = pick.randrange(len(words))
+                words[i : i + pick.randint(0, 1)] = pick.choice([[], ["x"], ["b"]])
+            words = [pick.choice("abcdx") for _ in range(5)] + words + [pick.choice("fghx") for _ in range(5)]
+            least = min(
+                len(template) + (j - i) - 2 * common(template, words[i:j])
+                for i in range(len(words)) for j in range(i + 1, len(words) + 1)
+            )
+            found = [n["different"] for n in matcher.matches(" ".join(words))]
+            assert (min(found) == least) if least <= most else not found
+
+
 def test_preference_pairs(spark):
     turns = lambda rows: spark.createDataFrame(rows, "pair_id long, turn long, role string, text string, prompt string")
     chosen = turns([(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, None, None, ""), (3, 0, "user", "u", "")])
