@@ -14,7 +14,7 @@ from convoscope.llm.language_crf import CrfParams, fit_language, forward_backwar
 from convoscope.llm.mixing import mix
 from convoscope.llm.preferences import preference_pairs
 from convoscope.llm.quality_rules import fit_rules, rules_of, score_quality
-from convoscope.llm.toxicity import fit_toxicity, maximal_segments, score_toxicity
+from convoscope.llm.toxicity import _lambda, fit_toxicity, maximal_segments, score_toxicity
 from oracle import TESTDATA, differences, duck
 
 FOLDER = TESTDATA / "sf0.001"
@@ -96,6 +96,44 @@ def test_language_held_out(spark):
     assert label_language(docs.limit(0), model).count() == 0
 
 
+def labelled(spark, toxic, common):
+    """Texts of 200 ordinary words, every ``toxic``-th with six insults; ``common`` words
+    are in half of the toxic and a third of the clean texts."""
+    pick, rows = random.Random(2), []
+    for i in range(600):
+        words = [f"w{pick.randrange(200)}" for _ in range(60)]
+        bad = i % toxic == 0
+        words += [f"c{j}" for j in range(common) if pick.random() < (0.5 if bad else 0.33)]
+        pick.shuffle(words)
+        if bad:
+            words[20:20] = [f"bad{pick.randrange(4)}" for _ in range(6)]
+        rows.append((i, " ".join(words), int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+
+
+def test_clean_words_end_a_passage(spark):
+    model = fit_toxicity(*labelled(spark, 4, 0), F.lit(True))
+    ordinary = " ".join(f"w{i * 7 % 200}" for i in range(100))
+    text = f"w1 w2 bad0 bad1 bad2 {ordinary} bad3 bad0 bad1 w3"
+    row = score_toxicity(spark.createDataFrame([(text,)], "text string"), model).first()
+    spans = [(p["first_word"], p["last_word"]) for p in row["passages"]]
+    assert len(spans) >= 2 and all(not (a < 50 < b) for a, b in spans)
+    assert any(a <= 2 and b >= 4 for a, b in spans) and any(a <= 105 and b >= 107 for a, b in spans)
+
+
+def test_common_words_leave_clean_text_below_zero(spark):
+    docs, labels = labelled(spark, 2, 200)
+    model = fit_toxicity(docs, labels, F.lit(True))
+    assert model.lam > 0.01
+    with pytest.raises(ValueError):
+        _lambda(np.array([0.5, 0.5]), np.array([1.0, -0.5]))
+    clean = docs.join(labels, "doc_id").where("toxic = 0")
+    long = clean.groupBy().agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    rows = score_toxicity(clean.select("text").unionByName(long), model).collect()
+    assert all(p["last_word"] - p["first_word"] < r["n_words"] / 2 for r in rows for p in r["passages"])
+
+
 @present
 def test_scores_held_out(spark):
     folder = str(TESTDATA / "sf0.01")
