@@ -36,6 +36,7 @@ CHUNK = 400_000
 @dataclass(frozen=True)
 class CrfParams:
     per_language: int = 250
+    sample_chars: int = 8_000_000
     bits: int = 17
     epochs: int = 2
     chain: int = 3
@@ -259,15 +260,29 @@ def train(texts: list[str], gold: list[int], labels: tuple[str, ...], p: CrfPara
 
 
 def language_sample(docs: DataFrame, allowed: Column, p: CrfParams) -> DataFrame:
-    """At most ``per_language`` texts ``(lang, text)`` for each language, by hash of id."""
-    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = small(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
-    keys = known.select("doc_id", "lang", uniform("doc_id", seed=p.seed).alias("_u"))
-    near = keys.join(totals, "lang").where(F.col("_u") * F.col("_n") <= 1.5 * p.per_language + 20)
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id")))
-    chosen = ranked.where(F.col("_r") <= p.per_language).select("doc_id", "lang", "_u").distinct()
+    """At most ``per_language`` texts ``(lang, text)`` for each language, by hash of id:
+    whole texts, until they hold ``sample_chars`` characters. Rows without an id are left
+    out; of rows with one id and language the shortest text is taken."""
+    known = docs.where(
+        allowed & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    )
+    # The number of ids only sets how many are ranked; it is right to a few hundredths.
+    totals = small(known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")), "languages")
+    keys = known.select("doc_id", "lang", uniform("doc_id", seed=p.seed).alias("_u"), F.length("text").alias("_c"))
+    near = (
+        keys.join(totals, "lang").where(F.col("_u") * F.col("_n") <= 1.5 * p.per_language + 20)
+        .groupBy("lang", "doc_id", "_u").agg(F.min("_c").alias("_c"))
+    )
+    order = Window.partitionBy("lang").orderBy("_u", "doc_id")
+    before = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+    ranked = near.withColumn("_r", F.row_number().over(order)).withColumn("_before", before)
+    chosen = ranked.where((F.col("_r") <= p.per_language) & (F.col("_before") < p.sample_chars))
     # Few narrow rows: languages times per_language.
-    return known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text", "_u", "doc_id")
+    return (
+        known.withColumn("_c", F.length("text"))
+        .join(F.broadcast(chosen.select("doc_id", "lang", "_u", "_c")), ["doc_id", "lang", "_c"])
+        .groupBy("lang", "doc_id", "_u").agg(F.min("text").alias("text")).select("lang", "text", "_u", "doc_id")
+    )
 
 
 def fit_language(docs: DataFrame, allowed: Column, params: CrfParams = CrfParams()) -> CrfModel | None:

@@ -18,7 +18,8 @@
 * **Document score.** The significant passages' -ln E, summed, and the share of words with
   z of ``least_z`` or more, through a logistic curve fitted on the labelled sample.
 
-The model is fitted on at most ``sample`` labelled documents (all their words); scoring
+The model is fitted on at most ``sample`` labelled documents (all their words; of rows
+with one id the least text); scoring
 covers whole texts. Every executor holds the sample's vocabulary (17 bytes a word). Case and digits: Unicode lower case; words are runs of ASCII letters
 and digits and of characters beyond ASCII.
 
@@ -200,7 +201,8 @@ def fit_toxicity(
     chosen = labelled_sample(labels, "toxic", allowed, p.sample)
     texts = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxic-sample",
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        .select("label", "text"), "toxic-sample",
     )
 
     def count(column: pa.Array) -> list[pa.Array]:

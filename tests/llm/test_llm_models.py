@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convoscope.llm import licenses, oracles, queries
 from convoscope.llm.common import learnable
 from convoscope.llm.corpus import drop_toxic, keep_languages
-from convoscope.llm.language_crf import CrfParams, fit_language, forward_backward, label_language, marginals
+from convoscope.llm.language_crf import CrfParams, fit_language, forward_backward, label_language, language_sample, marginals
 from convoscope.llm.mixing import mix
 from convoscope.llm.preferences import preference_pairs
 from convoscope.llm.quality_rules import fit_rules, rules_of, score_quality
@@ -79,6 +79,16 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(marginals(scores, first, move), want)
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(None, "a", "no id")] * 30 + [(7, "a", "copy")] * 300 + [(i, "a", f"text {i}") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows + [(i, "b", "y" * 100) for i in range(10)], "doc_id long, lang string, text string")
+    found = language_sample(docs, F.lit(True), CrfParams(per_language=40, sample_chars=250)).collect()
+    assert len({(r["doc_id"], r["lang"]) for r in found}) == len(found) and all(r["doc_id"] is not None for r in found)
+    assert [r["lang"] for r in found].count("b") == 3
+    found = language_sample(docs, F.lit(True), CrfParams(per_language=40)).collect()
+    assert [r["lang"] for r in found].count("a") == 40
+
+
 @present
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
