@@ -164,3 +164,153 @@ SELECT pair_id, CAST(n_prompt AS BIGINT) AS n_prompt,
                 FILTER (side = 1 AND place >= n_prompt AND role = 'assistant'), '') AS rejected_spans
 FROM measured GROUP BY pair_id, n_prompt
 """
+
+#: Unsigned crc32 of the UTF-8 bytes of {text}; ``crc_table`` holds the step of each byte.
+_CRC_TABLE = """
+crc_table AS MATERIALIZED (
+  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)
+          FOR b IN range(256)] AS step)"""
+_CRC = """xor(4294967295, list_reduce(
+    [CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, octet_length(encode({text})) + 1)],
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295))"""
+
+OP11 = f"""
+WITH {_CRC_TABLE},
+w AS MATERIALIZED (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS place,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+  UNION ALL
+  SELECT 1, NULL, NULL, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
+  FROM benchmark),
+posted AS MATERIALIZED (SELECT side, place, word, count(*) AS n FROM (SELECT side, place, unnest(words) AS word FROM w) GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT word, {_CRC.format(text="word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM posted), crc_table),
+per AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t
+  FROM posted JOIN hashed USING (word) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(
+           CAST((t + 1) * ((SELECT sum(s) FROM per) + 10000) AS DOUBLE)
+           / CAST((s + 1) * ((SELECT sum(t) FROM per) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM per),
+sums AS (
+  SELECT place, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+  FROM posted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY place),
+scored AS (
+  SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features,
+         CAST(coalesce(floor(total::DOUBLE / n_features), 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(w.id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h
+  FROM w LEFT JOIN sums USING (place) WHERE side = 0),
+drawn AS (
+  SELECT doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+         count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS most
+  FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= most THEN place END AS rank FROM ordered
+"""
+
+
+def _field(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join([*map(_field, ('doc_id', 'source', 'lang', 'n_chars')), _field(text)])})"
+
+
+#: Trees level by level; `up` is the run a node belongs to, in the upper tree from the subroots on.
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS MATERIALIZED (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC.format(text="CAST(doc_id AS VARCHAR)")} % 3 = 0
+              THEN {_leaf(_LOWER.format("text"))} END AS other
+  FROM documents, crc_table),
+groups AS (
+  SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, count(*) AS n FROM leaves GROUP BY lang),
+bottom AS MATERIALIZED (
+  SELECT l.*, g.tree, g.n, row_number() OVER (PARTITION BY g.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM leaves l JOIN groups g ON l.lang IS NOT DISTINCT FROM g.lang),
+grown(tree, level, i, n, digest) AS (
+  SELECT tree, 0, i, n, leaf FROM bottom
+  UNION ALL
+  SELECT tree, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+  FROM grown WHERE n > 1 GROUP BY tree, level + 1, i // 8, (n + 7) // 8),
+tops AS MATERIALIZED (SELECT tree, level, digest FROM grown WHERE n = 1),
+upper(level, i, n, digest) AS (
+  SELECT 0, tree, (SELECT count(*) FROM tops), digest FROM tops
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+  FROM upper WHERE n > 1 GROUP BY level + 1, i // 8, (n + 7) // 8),
+root AS (SELECT digest FROM upper WHERE n = 1),
+nodes AS MATERIALIZED (
+  SELECT tree, level, i, n, digest FROM grown WHERE n > 1
+  UNION ALL
+  SELECT -1, level, i, n, digest FROM upper WHERE n > 1),
+sides AS MATERIALIZED (
+  SELECT a.tree, a.level, a.i,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.i // 8 = b.i // 8
+  GROUP BY a.tree, a.level, a.i),
+walk(doc_id, leaf, own, tree, level, i, proof, folded) AS (
+  SELECT doc_id, leaf, tree, tree, 0, i, '', coalesce(other, leaf) FROM bottom
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.own, s.tree, s.level + 1, s.i // 8, w.proof || s.before || s.after,
+         sha256(s.before || w.folded || s.after)
+  FROM (SELECT w.*, t.level IS NOT NULL AND w.tree >= 0 AS arrived
+        FROM walk w LEFT JOIN tops t ON t.tree = w.tree AND t.level = w.level) w
+  JOIN sides s ON s.tree = CASE WHEN arrived THEN -1 ELSE w.tree END
+              AND s.level = CASE WHEN arrived THEN 0 ELSE w.level END
+              AND s.i = CASE WHEN arrived THEN w.tree ELSE w.i END),
+longest AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, leaf, own ORDER BY tree >= 0, level DESC) AS place FROM walk)
+SELECT l.doc_id, l.leaf, t.digest AS subroot, root.digest AS root, sha256(l.proof) AS proof_sha256,
+       l.folded AS folded_root, l.folded = root.digest AS verified
+FROM longest l JOIN tops t ON t.tree = l.own, root WHERE place = 1
+"""
+
+
+def _found(kind: str, order: int, pattern: str, least: int, head: str = "") -> str:
+    """Matches of a pattern by place: texts between matches and matches, one after the other."""
+    pattern, head = pattern.replace("'", "''"), head.replace("'", "''")
+    body = f"length(hit) - length(regexp_extract(hit, '^{head}'))" if head else "length(hit)"
+    return f"""
+  SELECT place, '{kind}' AS kind, {order} AS ord, "start", "start" + length(hit) AS "end" FROM (
+    SELECT place, hits[k] AS hit,
+           CAST(list_sum([length(x) FOR x IN rest[1:k]]) + coalesce(list_sum([length(x) FOR x IN hits[1:k - 1]]), 0) AS BIGINT) AS "start"
+    FROM (SELECT place, hits, rest, unnest(generate_series(1, len(hits))) AS k
+          FROM (SELECT place, regexp_extract_all(text, '{head}{pattern}') AS hits,
+                       regexp_split_to_array(text, '{head}{pattern}') AS rest FROM d)))
+  WHERE {body} >= {least}"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_KINDS = " UNION ALL ".join([
+    _found("assign", 1, "[A-Za-z0-9+/_.=-]+", 12, f"""(?:{_NAMES})["']?\\x20*[:=]\\x20*["']?"""),
+    _found("access", 2, "AKIA[A-Z0-9]+", 18),
+    _found("hex", 3, "[0-9a-f]+", 16),
+    _found("github", 4, "gh[pousr]_[A-Za-z0-9]+", 40),
+    _found("slack", 5, "xox[abprs]-[A-Za-z0-9-]+", 15),
+    _found("jwt", 6, "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 30),
+    _found("pem", 7, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1),
+])
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS place, coalesce(text, '') AS text FROM documents),
+found AS MATERIALIZED ({_KINDS}),
+named AS (SELECT *, kind || ':' || "start" || ':' || "end" AS span FROM found)
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (ord = 1) AS n_assign, count(*) FILTER (ord = 2) AS n_access,
+       count(*) FILTER (ord = 3) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY "start", ord) FILTER (ord <= 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY "start", ord), '') AS spans
+FROM d LEFT JOIN named USING (place) GROUP BY place
+"""

@@ -11,9 +11,12 @@ from convoscope.llm.fingerprint import fingerprints
 from convoscope.llm.jaccard_join import jaccard_groups
 from convoscope.llm.language_crf import fit_language, label_language
 from convoscope.llm.licenses import scan_licenses
+from convoscope.llm.manifest import manifest
 from convoscope.llm.mixing import mix
 from convoscope.llm.preferences import preference_pairs
 from convoscope.llm.quality_rules import fit_rules, score_quality
+from convoscope.llm.resample import resample
+from convoscope.llm.secret_scan import BASE, find_secrets, joined, of_kinds
 from convoscope.llm.toxicity import fit_toxicity, score_toxicity
 from convoscope.llm.warc import round_trip
 
@@ -104,6 +107,27 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest(table(spark, folder, "documents"), changed)
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    base = of_kinds(F.col("secrets"), BASE)
+    return found.select(
+        "row.doc_id",
+        *[F.size(of_kinds(F.col("secrets"), [rule])).cast("bigint").alias(f"n_{rule.kind}") for rule in BASE],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -115,6 +139,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_preferences": op9_preferences,
     "op10_toxicity": op10_toxicity,
+    "op11_resample": op11_resample,
+    "op12_manifest": op12_manifest,
+    "op13_secrets": op13_secrets,
 }
 
 SQL = {
@@ -123,4 +150,7 @@ SQL = {
     "op3_decontamination": oracles.OP3,
     "op8_jaccard_join": oracles.OP8,
     "op9_preferences": oracles.OP9,
+    "op11_resample": oracles.OP11,
+    "op12_manifest": oracles.OP12,
+    "op13_secrets": oracles.OP13,
 }
