@@ -78,6 +78,8 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.size("notices").cast("bigint").alias("n_notices"),
         F.concat_ws(",", F.array_sort(F.array_distinct("notices.license"))).alias("licenses"),
         F.array_min("notices.different").alias("least_different"),
+        F.aggregate("notices.saved", F.lit(0).cast("bigint"), lambda n, x: n + x).alias("saved_bytes"),
+        F.array_min("notices.rank").alias("best_rank"),
     )
 
 

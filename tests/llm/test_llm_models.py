@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -218,6 +219,47 @@ def test_a_notice_wrapped_over_lines():
             assert name in names("Title\n\n# " + "\n# ".join(lines) + "\n\nmore"), (name, every)
 
 
+def test_every_pair_and_every_wrapping():
+    one_line = [k for k, v in licenses.TEMPLATES.items() if len(v) < 200 and "header" not in k and "notice" not in k]
+    for one, two in itertools.permutations(one_line, 2):
+        assert set(names(licenses.TEMPLATES[one] + " " + licenses.TEMPLATES[two])) == {one, two}, (one, two)
+    for name, notice in licenses.TEMPLATES.items():
+        for width in (20, 40, 60, 76):
+            assert names("Head\n * " + "\n * ".join(textwrap.wrap(notice, width, break_long_words=False)) + "\n\nbody") == [name], (name, width)
+
+
+def test_other_wording_of_one_line():
+    for line in ("Distributed under the MIT License.", "Released under the MIT licence.", "released under MIT License"):
+        assert names(line) == ["MIT"], line
+    for line in ("Released under the BSD License.", "This work is licensed under the GNU General Public License, version 2."):
+        assert names(line) == [], line
+
+
+def test_whole_texts_and_what_they_hold():
+    bsd, mit = licenses.TEMPLATES["BSD-2-Clause-text"], licenses.TEMPLATES["MIT-text"]
+    assert names(bsd.replace("FITNESS", "suitability") + " " + mit.replace("merge, ", "")) == ["BSD-2-Clause-text", "MIT-text"]
+    found = licenses.Matcher(licenses.TEMPLATES, licenses.LicenseParams()).matches(" ".join([*OTHER, mit, *OTHER]))
+    assert [(n["license"], n["different"], n["rank"]) for n in found] == [("MIT-text", 0, 1)] and found[0]["share"] > 0.8
+    # What is left beside a whole text is ranked again.
+    assert names(mit + " " + licenses.TEMPLATES["MIT-header"]) == ["MIT-text", "MIT-header"]
+
+
+def test_many_notices_in_a_long_text():
+    pick = random.Random(3)
+    order = [pick.choice(list(licenses.TEMPLATES)) for _ in range(60)]
+    filler = lambda: " ".join(pick.choice(OTHER + ["permission", "license", "software"]) for _ in range(pick.choice([0, 3, 400])))
+    text = " ".join(x for name in order for x in (filler(), licenses.TEMPLATES[name]))
+    found = licenses.Matcher(licenses.TEMPLATES, licenses.LicenseParams()).matches(text)
+    assert [n["license"] for n in found if not n["different"]] == order
+    assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
+
+
+def test_no_templates(spark):
+    frame = spark.createDataFrame([(licenses.TEMPLATES["MIT"],)], "text string")
+    assert [r["notices"] for r in licenses.scan_licenses(frame, {}).collect()] == [[]]
+    assert [r["notices"] for r in licenses.scan_licenses(frame, {"none": "..."}).collect()] == [[]]
+
+
 def test_places_by_brute_force():
     """Words that differ, against all runs of a text aligned by the longest common subsequence."""
     def common(a, b):
