@@ -8,12 +8,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from convoscope.llm import warc
 from convoscope.llm.common import components
 from convoscope.llm.corpus import mixed, one_of_each
 from convoscope.llm.decontaminate import Decontamination, find_benchmark, without_benchmark
-from convoscope.llm.fingerprint import decode, encode, fingerprints, merge, sketch
+from convoscope.llm.fingerprint import _ranges, decode, encode, fingerprints, merge, sketch
 from convoscope.llm.jaccard_join import JaccardJoin, _Blocks, jaccard_groups
 
 DOCS = "doc_id long, text string, extra string, node string, row string"
@@ -178,32 +179,68 @@ def test_cut_spans(spark):
     assert (row["text"], row["spans"]) == ("Keep this. and that.", "t")
 
 
+def shingles(raw, width=16):
+    whole = b"\xff" * (width - 1) + raw + b"\xff" * (width - 1)
+    return {whole[i : i + width] for i in range(len(whole) - width + 1)} if raw else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints(spark):
     pick = random.Random(6)
     texts = ["".join(pick.choice("abc dé€😀") for _ in range(pick.choice([0, 1, 2, 30, 400, 3000]))) for _ in range(57)]
     texts[5] = texts[9]
-    ids = pick.sample(range(-500, 500), 57)
-    for block in (1000, 5):
+    ids = pick.sample(range(-500, 500), 55) + [77777, 77777]
+    for ranges in (1, 7):
         frame = spark.createDataFrame([*zip(ids, texts), (None, None)], "doc_id long, text string")
-        found = {r["doc_id"]: r for r in fingerprints(frame, rows_per_block=block).collect()}
+        found = collections.defaultdict(list)
+        for r in fingerprints(frame, ranges=ranges).collect():
+            found[r["doc_id"]].append(r)
         order = sorted(zip(ids, texts), reverse=True) + [(None, "")]
-        for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        for (i, text), (j, after) in zip(order, order[1:] + order[:1]):
+            if 77777 in (i, j):  # equal ids stand in the order of a hash
+                continue
             cut = len(text) // 3
             new = text[: len(text) - cut] + after[:cut]
-            row = found[i]
+            [row] = found[i]
             assert (row["n_chars"], row["edited_sha256"]) == (len(text), hashlib.sha256(new.encode()).hexdigest())
             assert row["fingerprint"] == encode(sketch(text.encode()))
             assert row["edited_fingerprint"] == encode(sketch(new.encode()))
-            assert 0 <= row["near_next"] <= 1 and 0 <= row["near_edited"] <= 1
-        assert found[ids[5]]["fingerprint"] == found[ids[9]]["fingerprint"]
+            # An estimate from about n / 8 shingles, against all of them.
+            a, b, c = (shingles(t.encode()) for t in (text, new, after))
+            for name, want, size in (("near_edited", jaccard(a, b), len(a | b)), ("near_next", jaccard(a, c), len(a | c))):
+                assert 0 <= row[name] <= 1 and abs(row[name] - want) <= 5 * (8 / max(size, 8)) ** 0.5 / 2 + (size < 60), (name, size)
+                assert want < 1 or row[name] == 1
+            want = len(a & c) / len(a) if a else 1.0
+            assert abs(row["kept_next"] - want) <= 5 * (8 / max(len(a), 8)) ** 0.5 / 2 + (len(a) < 60)
+            assert bool(row["fingerprint"]) == bool(text)
+        assert len(found[77777]) == 2
+        assert found[ids[5]][0]["fingerprint"] == found[ids[9]][0]["fingerprint"]
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_id_of_many_rows_is_cut(spark):
+    rows = [(7, f"text {i}") for i in range(4000)] + [(None, f"none {i}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = frame.withColumn("tie", F.xxhash64("text")).select("doc_id", "tie")
+    assert len(_ranges(keyed, 20)) > 15
+    assert fingerprints(frame, ranges=20).groupBy("doc_id").count().orderBy("doc_id").collect() == [(None, 1000), (7, 4000)]
+    far = [(2**62 + i, str(i)) for i in range(40)] + [(None, "x")]
+    found = {r["doc_id"]: r["edited_sha256"] for r in fingerprints(spark.createDataFrame(far, "doc_id long, text string"), ranges=9).collect()}
+    assert found[2**62 + 15] == hashlib.sha256(b"15").hexdigest() and len(found) == 41
+
+
 def test_sketches_merge_and_decode():
     a, b = (bytes(random.Random(i).randbytes(5000)) for i in (1, 2))
     assert np.array_equal(decode(encode(sketch(a))), sketch(a))
     whole = merge(sketch(a), sketch(b))
     assert set(whole) == set(sketch(a)) | set(sketch(b))
+    alone = [x for x in (sketch(bytes([i])) for i in range(32, 127)) if x[0] >> 24]
+    assert len(alone) > 1 and all(np.array_equal(decode(encode(x)), x) for x in alone)
+    assert np.array_equal(merge(alone[0], sketch(a)), sketch(a)) and len(merge(*alone)) == 1
+    assert len(sketch(b"")) == 0 and encode(sketch(b"")) == ""
 
 
 def test_warc_round_trip(spark):
