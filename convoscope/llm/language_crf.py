@@ -37,6 +37,7 @@ CHUNK = 400_000
 class CrfParams:
     per_language: int = 250
     sample_chars: int = 8_000_000
+    total_chars: int = 64_000_000
     bits: int = 17
     epochs: int = 2
     chain: int = 3
@@ -261,7 +262,8 @@ def train(texts: list[str], gold: list[int], labels: tuple[str, ...], p: CrfPara
 
 def language_sample(docs: DataFrame, allowed: Column, p: CrfParams) -> DataFrame:
     """At most ``per_language`` texts ``(lang, text)`` for each language, by hash of id:
-    whole texts, until they hold ``sample_chars`` characters. Rows without an id are left
+    whole texts, until they hold ``sample_chars`` characters, and in turn over the languages
+    until all hold ``total_chars``. Rows without an id are left
     out; of rows with one id and language the shortest text is taken."""
     known = docs.where(
         allowed & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -276,7 +278,10 @@ def language_sample(docs: DataFrame, allowed: Column, p: CrfParams) -> DataFrame
     order = Window.partitionBy("lang").orderBy("_u", "doc_id")
     before = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
     ranked = near.withColumn("_r", F.row_number().over(order)).withColumn("_before", before)
-    chosen = ranked.where((F.col("_r") <= p.per_language) & (F.col("_before") < p.sample_chars))
+    within = ranked.where((F.col("_r") <= p.per_language) & (F.col("_before") < p.sample_chars))
+    # The same number of texts of every language, until all together are long enough.
+    turns = Window.orderBy("_r", "lang", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = within.withColumn("_all", F.sum("_c").over(turns) - F.col("_c")).where(F.col("_all") < p.total_chars)
     # Few narrow rows: languages times per_language.
     return (
         known.withColumn("_c", F.length("text"))

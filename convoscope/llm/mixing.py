@@ -12,8 +12,8 @@ fixed size, in words, with unequal probabilities.
 At scale: importance has few values per source, so copies are solved on a summary. The
 rank at which a source's budget is met is found by digits: rank prefixes are counted per
 source (combined map-side), the prefix where the sum crosses the budget is refined once,
-and only the documents of that last prefix, one in sixteen million, are put in order.
-No source is gathered in one task. ``u`` comes from the id's md5, so reruns agree.
+and only the documents of that last prefix, one in sixteen million and rows equal to them,
+are put in order, equal rows as a count. No source is gathered in one task. ``u`` comes from the id's md5, so reruns agree.
 
 Defined results: null or empty text has size 0 and is never taken; null is a source of
 its own, last in order; a source without words has target 0; equal ranks are ordered by
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoscope.llm.common import small, stage, uniform
+from convoscope.llm.ordering import placed
 
 #: Words of the mix: everything but space and \t \n \v \f \r.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -159,11 +160,7 @@ def mix(docs: DataFrame, params: Mix = Mix(), id: str = "doc_id", source: str =
     marked = drawn.join(edge, "source_key", "left").withColumn(
         "at_edge", (F.col("chance") > 0) & (F.col("step") == F.col("edge"))
     )
-    order = Window.partitionBy("source_key").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ends = F.sum("size").over(order)
-    last = marked.where("at_edge").withColumn("in_mix", (ends + ends - F.col("size") <= 2 * F.col("left")).cast("int"))
+    last = _edge(marked.where("at_edge"))
     rest = marked.where("NOT at_edge OR at_edge IS NULL").withColumn(
         "in_mix", F.coalesce(((F.col("chance") > 0) & (F.col("step") < F.col("edge"))).cast("int"), F.lit(0))
     )
@@ -175,6 +172,31 @@ def mix(docs: DataFrame, params: Mix = Mix(), id: str = "doc_id", source: str =
     )
 
 
+def _edge(rows: DataFrame) -> DataFrame:
+    """The rows at the edge with ``in_mix``: in order of rank, id and size they are taken
+    until ``left`` is met. Rows equal in these are counted; as many as are taken are the
+    first of them by place, so no number of equal rows meets in a task."""
+    keys = ["source_key", "rank", "doc_id", "size"]
+    alike, counts = placed(
+        rows.withColumn("_row", F.monotonically_increasing_id()),
+        [F.asc("source_key"), F.asc("rank"), F.asc_nulls_last("doc_id"), F.asc("size"), F.asc("_row")], "edge-rows", keys,
+    )
+    order = Window.partitionBy("source_key").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = F.coalesce(F.sum(F.col("size") * F.col("_size")).over(order), F.lit(0))
+    room = counts.join(rows.select("source_key", "left").distinct(), "source_key").withColumn("_before", before)
+    # Of n equal rows the j-th is taken if the middle of its words is not beyond what is left.
+    most = F.floor((2 * (F.col("left") - F.col("_before")) + F.col("size")) / (2 * F.col("size")))
+    taken = room.select(*[F.col(c).alias(f"_{c}_of") for c in keys], most.cast("bigint").alias("_most"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
+    return alike.join(taken, same).withColumn("in_mix", (F.col("_pos") < F.col("_most")).cast("int")).drop(
+        "_row", "_pos", "_size", "_most", *[f"_{c}_of" for c in keys]
+    )
+
+
 def _crossing(rows: DataFrame, budget: DataFrame) -> DataFrame:
     """Per source the last ``digit`` that begins within the budget, and the budget
     ``left`` where it begins. At most ``2 ** _DIGIT`` digits per source and call."""

@@ -135,22 +135,43 @@ SELECT p.page_id, CAST(octet_length(p.payload) AS BIGINT) AS payload_bytes, p.ke
 FROM p LEFT JOIN often o ON o.key = p.key
 """
 
-OP9 = """
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
+#: Unsigned crc32 of the UTF-8 bytes of {text}; ``crc_table`` holds the step of each byte.
+_CRC_TABLE = """
+crc_table AS MATERIALIZED (
+  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)
+          FOR b IN range(256)] AS step)"""
+_CRC = """xor(4294967295, list_reduce(
+    [CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, octet_length(encode({text})) + 1)],
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295))"""
+
+OP9 = f"""
+WITH {_CRC_TABLE},
+o AS MATERIALIZED (
+  SELECT conv_id, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
   FROM conversations),
+cuts AS MATERIALIZED (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN n ELSE {_CRC.format(text="CAST(conv_id AS VARCHAR)")} % (n + 1) END AS cut
+  FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id), crc_table),
+t AS MATERIALIZED (
+  SELECT conv_id AS pair_id, 0 AS side, role, text, place FROM o
+  UNION ALL
+  SELECT o.conv_id, 1, role, text, place FROM o JOIN cuts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id WHERE place < cut
+  UNION ALL
+  SELECT c.conv_id, 1, role, text, row_number() OVER (PARTITION BY c.conv_id ORDER BY place) - 1 + least(cut, n)
+  FROM o JOIN cuts c ON xor(o.conv_id, 1) = c.conv_id
+  JOIN (SELECT conv_id AS own, count(*) AS n FROM o GROUP BY conv_id) ON own = c.conv_id WHERE place >= cut),
 alike AS (
-  SELECT a.pair_id, a.place FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.place = b.place
+  SELECT a.pair_id, a.place FROM t a JOIN t b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.place = b.place
   WHERE a.side = 0 AND b.side = 1 AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),
 prefix AS (
   SELECT t.pair_id,
          coalesce(min(t.place) FILTER (a.place IS NULL), count(DISTINCT t.place)) AS n_prompt
-  FROM t LEFT JOIN alike a ON a.pair_id = t.pair_id AND a.place = t.place GROUP BY t.pair_id),
+  FROM t LEFT JOIN alike a ON a.pair_id IS NOT DISTINCT FROM t.pair_id AND a.place = t.place GROUP BY t.pair_id),
 shown AS (
   SELECT t.*, p.n_prompt, '<|im_start|>' || coalesce(role, '') || chr(10) AS head,
          '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN prefix p ON p.pair_id = t.pair_id),
+  FROM t JOIN prefix p ON p.pair_id IS NOT DISTINCT FROM t.pair_id),
 measured AS (
   SELECT *, sum(CASE WHEN place >= n_prompt THEN length(body) ELSE 0 END)
               OVER (PARTITION BY pair_id, side ORDER BY place) AS ends FROM shown)
@@ -165,15 +186,6 @@ SELECT pair_id, CAST(n_prompt AS BIGINT) AS n_prompt,
 FROM measured GROUP BY pair_id, n_prompt
 """
 
-#: Unsigned crc32 of the UTF-8 bytes of {text}; ``crc_table`` holds the step of each byte.
-_CRC_TABLE = """
-crc_table AS MATERIALIZED (
-  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)
-          FOR b IN range(256)] AS step)"""
-_CRC = """xor(4294967295, list_reduce(
-    [CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, octet_length(encode({text})) + 1)],
-    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295))"""
-
 OP11 = f"""
 WITH {_CRC_TABLE},
 w AS MATERIALIZED (

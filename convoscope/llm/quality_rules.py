@@ -6,7 +6,8 @@ A logistic regression with an L1 penalty over the rules keeps few of them, and w
 keeps is compiled back into one Spark expression, so scoring is a projection that runs
 inside the JVM over whole texts.
 
-Fitted on at most ``sample`` labelled documents. Defined results: null and empty texts
+Fitted on at most ``sample`` labelled documents; of rows with one id those with the least
+statistics count, once. Defined results: null and empty texts
 have the statistics of the empty text; without labels of both kinds the score is the
 label's share (0.5 for none); repeated rows are scored alike; an empty table gives an
 empty result; statistics live in a struct, so the input's columns cannot clash.
@@ -126,7 +127,8 @@ def fit_rules(
     rows = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select(F.col("label").cast("double").alias("label"), F.struct(*[c.cast("double").alias(n) for n, c in stats.items()]).alias("stats")),
+        .select("doc_id", F.col("label").cast("double").alias("label"), F.struct(*[c.cast("double").alias(n) for n, c in stats.items()]).alias("stats"))
+        .groupBy("doc_id", "label").agg(F.min("stats").alias("stats")).drop("doc_id"),
         "quality-sample",
     ).coalesce(4)
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()

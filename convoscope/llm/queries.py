@@ -13,7 +13,7 @@ from convoscope.llm.language_crf import fit_language, label_language
 from convoscope.llm.licenses import scan_licenses
 from convoscope.llm.manifest import manifest
 from convoscope.llm.mixing import mix
-from convoscope.llm.preferences import preference_pairs
+from convoscope.llm.preferences import placed as placed_turns, preference_pairs
 from convoscope.llm.quality_rules import fit_rules, score_quality
 from convoscope.llm.resample import resample
 from convoscope.llm.secret_scan import BASE, find_secrets, joined, of_kinds
@@ -88,13 +88,23 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_preferences(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k."""
-    turns = table(spark, folder, "conversations").select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("first"),
-        "turn", "role", "text",
-    )
+    """Each conversation as the chosen side. The rejected side is the same up to a turn that
+    the id's crc32 gives (none to all), and goes on as the conversation beside it does (2k
+    for 2k + 1 and the reverse) from there. Turns without an id are one conversation without
+    a neighbour, which parts from itself at its end."""
     columns = ["pair_id", "turn", "role", "text"]
-    return preference_pairs(turns.where("first").select(columns), turns.where("NOT first").select(columns))
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    at = placed_turns(turns, "pair_id").withColumnRenamed("place", "turn")
+    n = at.groupBy("pair_id").agg(F.count("*").alias("n"))
+    cut = n.select(
+        F.col("pair_id").alias("cut_of"),
+        F.when(F.col("pair_id").isNull(), F.col("n"))
+        .otherwise(F.crc32(F.col("pair_id").cast("string").cast("binary")) % (F.col("n") + 1)).alias("cut"),
+    )
+    own = at.join(cut, F.col("pair_id").eqNullSafe(F.col("cut_of"))).where(F.col("turn") < F.col("cut"))
+    other = at.withColumn("pair_id", F.col("pair_id").bitwiseXOR(F.lit(1))).join(cut, F.col("pair_id") == F.col("cut_of"))
+    rejected = own.select(columns).unionByName(other.where(F.col("turn") >= F.col("cut")).select(columns))
+    return preference_pairs(turns, rejected)
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,8 +19,9 @@
   z of ``least_z`` or more, through a logistic curve fitted on the labelled sample.
 
 The model is fitted on at most ``sample`` labelled documents (all their words; of rows
-with one id the least text); scoring
-covers whole texts. Every executor holds the sample's vocabulary (17 bytes a word). Case and digits: Unicode lower case; words are runs of ASCII letters
+with one id the least text), which end at ``sample_chars`` characters, the last text whole;
+scoring covers whole texts. Driver and executors hold the sample's vocabulary (17 bytes a
+word), which those characters bound. Case and digits: Unicode lower case; words are runs of ASCII letters
 and digits and of characters beyond ASCII.
 
 Defined results: null and empty texts have no passage and the score of a text without
@@ -37,15 +38,16 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoscope.llm import bytewords as bw
-from convoscope.llm.common import annotate, labelled_sample, stage
+from convoscope.llm.common import annotate, labelled_sample, stage, uniform
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     sample: int = 20_000
+    sample_chars: int = 64_000_000
     prior: float = 0.1
     least_z: float = 3.0
     gap: float = 0.03
@@ -201,9 +203,13 @@ def fit_toxicity(
     chosen = labelled_sample(labels, "toxic", allowed, p.sample)
     texts = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-        .select("label", "text"), "toxic-sample",
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxic-sample",
     )
+    # Whole texts by hash of the id, until they are long enough: a sum over at most ``sample`` rows.
+    order = Window.orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = texts.select("doc_id", uniform("doc_id", seed=5).alias("_u"), F.length("text").alias("_c"))
+    kept = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0))).where(F.col("_before") < p.sample_chars)
+    texts = texts.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi").select("label", "text")
 
     def count(column: pa.Array) -> list[pa.Array]:
         words, times = [], []

@@ -261,6 +261,13 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
+def test_warc_keeps_a_record_of_a_long_url(spark):
+    frame = spark.createDataFrame([(1, "http://a/" + "x" * 2_000_000, "é" * 600), (2, "u", "é" * 600)], "page_id long, url string, html string")
+    found = {r["record_id"]: r for r in warc.round_trip(frame).collect()}
+    assert (found["<urn:page:1>"]["record_type"], found["<urn:page:1>"]["refers_to"]) == ("revisit", "<urn:page:2>")
+    assert len(found["<urn:page:1>"]["url"]) == 2_000_009 and not found["<urn:page:1>"]["problem"]
+
+
 def test_warc_reader_goes_on_after_damage():
     members = [warc.member(warc.record(i, "u", bytes([65 + i]) * 200_000, None, False)) for i in range(4)]
     flipped = bytearray(members[1])
