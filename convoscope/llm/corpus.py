@@ -11,20 +11,21 @@ from convoscope.llm.language_crf import UNKNOWN, fit_language, label_language
 from convoscope.llm.mixing import Mix, mix
 from convoscope.llm.toxicity import fit_toxicity, score_toxicity
 
-KEY = "__key"
-
 #: Near copies as a stage takes them: shingles of five words, similarity 0.8.
 NEAR = JaccardJoin(shingle=5, least=80)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own in ``__key``: the id where it names every row,
-    else a number given once and written down with the rows."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own in a new column, and its name: the id where it
+    names every row, else a number given once and written down with the rows."""
+    key = "__key"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     rows, known = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == known:
-        return docs.withColumn(KEY, F.col("doc_id").cast("bigint"))
-    return stage(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(key, F.col("doc_id").cast("bigint")), key
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Column, at: float = 0.7) -> DataFrame:
@@ -47,15 +48,15 @@ def keep_languages(docs: DataFrame, allowed: Column, least_share: float = 0.5, f
 def one_of_each(docs: DataFrame, params: JaccardJoin = NEAR) -> DataFrame:
     """Of each group of near copies the document with the least ``doc_id``; documents
     without words are in no group and stay."""
-    rows = keyed(docs)
-    groups = jaccard_groups(rows.select(F.col(KEY).alias("doc_id"), "text"), params).where("n_shingles > 0")
-    named = rows.select(F.col(KEY).alias("key"), F.col("doc_id").cast("bigint").alias("id"))
+    rows, key_name = keyed(docs)
+    groups = jaccard_groups(rows.select(F.col(key_name).alias("doc_id"), "text"), params).where("n_shingles > 0")
+    named = rows.select(F.col(key_name).alias("key"), F.col("doc_id").cast("bigint").alias("id"))
     members = stage(groups.join(named, groups["doc_id"] == named["key"]).select("key", "id", "component_id"), "members")
     heads = members.groupBy("component_id").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("head")
     )
-    gone = members.join(heads, "component_id").where("key <> head.key").select(F.col("key").alias(KEY))
-    return rows.join(small(gone, "copies"), KEY, "left_anti").select(*docs.columns)
+    gone = members.join(heads, "component_id").where("key <> head.key").select(F.col("key").alias(key_name))
+    return rows.join(small(gone, "copies"), key_name, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, params: Mix = Mix()) -> DataFrame:
     """Each document as often as the mix holds it, with ``copy`` (from 1), ``size`` and
     its source's ``target``; columns of those names in the input are replaced."""
-    rows = keyed(docs)
-    chosen = mix(rows.select(F.col(KEY).alias("doc_id"), "source", "text"), params).where("copies > 0").select(
-        F.col("doc_id").alias(KEY), "copies", "size", "target"
+    rows, key_name = keyed(docs)
+    chosen = mix(rows.select(F.col(key_name).alias("doc_id"), "source", "text"), params).where("copies > 0").select(
+        F.col("doc_id").alias(key_name), "copies", "size", "target"
     )
     own = rows.select(*[c for c in rows.columns if c not in ("copy", "copies", "size", "target")])
-    return own.join(chosen, KEY).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop(KEY, "copies")
+    return own.join(chosen, key_name).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop(key_name, "copies")

@@ -1,8 +1,12 @@
 """Models against brute force and held-out labels; licenses and preference pairs."""
 
 import itertools
+import math
 import random
+import re
 import textwrap
+import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -15,7 +19,7 @@ from convoscope.llm.language_crf import CrfParams, fit_language, forward_backwar
 from convoscope.llm.mixing import mix
 from convoscope.llm.preferences import preference_pairs
 from convoscope.llm.quality_rules import fit_rules, rules_of, score_quality
-from convoscope.llm.toxicity import _lambda, fit_toxicity, maximal_segments, score_toxicity
+from convoscope.llm.toxicity import ToxicityParams, _lambda, fit_toxicity, maximal_segments, score_toxicity
 from oracle import TESTDATA, differences, duck
 
 FOLDER = TESTDATA / "sf0.001"
@@ -90,6 +94,61 @@ def test_language_sample_is_bounded(spark):
     assert [r["lang"] for r in found].count("a") == 40
 
 
+def test_language_sample_is_bounded_over_languages(spark):
+    rows = [(100 * k + i, f"l{k}", "z" * 100) for k in range(8) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = language_sample(docs, F.lit(True), CrfParams(total_chars=2400)).collect()
+    assert len(found) == 24 and {r["lang"] for r in found} == {f"l{k}" for k in range(8)}
+
+
+def test_toxic_sample_ends_at_characters(spark):
+    docs, labels = labelled(spark, 4, 0)
+    assert fit_toxicity(docs, labels, F.lit(True), ToxicityParams(sample_chars=600)).words.size < fit_toxicity(docs, labels, F.lit(True)).words.size
+    one = fit_toxicity(docs, labels, F.lit(True), ToxicityParams(sample_chars=1))  # the first text is whole
+    assert 0 < one.words.size <= 66
+
+
+def test_quality_of_a_repeated_id(spark):
+    pick = random.Random(1)
+    rows = [(i, "good words, in a line. " * 3 if i % 2 else "# # " * 9 + "x" * pick.randint(1, 9)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame([rows[0]] * 3000, docs.schema)
+    assert str(fit_rules(docs.unionByName(many), labels, F.lit(True))) == str(fit_rules(docs, labels, F.lit(True)))
+
+
+def slow_statistics(text):
+    text = text or ""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    n, size = max(1, len(words)), max(1, len(text))
+    kind = lambda c: unicodedata.category(c)
+    spaces = sum(c in " \t\n\x0b\f\r" for c in text)
+    return {
+        "log_chars": math.log1p(len(text)), "word_length": (len(text) - spaces) / n, "distinct_words": len(set(words)) / n,
+        "letters": sum(kind(c)[0] == "L" for c in text) / size, "upper": sum(kind(c) == "Lu" for c in text) / size,
+        "digits": sum(kind(c)[0] == "N" for c in text) / size, "stops": sum(c in ".,;:?" for c in text) / size,
+        "symbols": sum(c in "#$%&*+<=>@\\^_`{|}~!" for c in text) / size,
+        "bare_symbols": sum(w in ("|", "-", "*", "#", "•", ">") for w in words) / n,
+        "short_words": sum(len(w) <= 3 for w in words) / n, "lines": text.count("\n") / n,
+    }
+
+
+@present
+def test_quality_by_plain_python(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    model = fit_rules(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"), learnable("doc_id", 4, 2))
+    assert model.rules
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "É 1² | # •  x\n\n>!"), (-4, "w " * 20_000)], docs.schema)
+    for r in score_quality(docs.unionByName(odd), model).collect():
+        stats = slow_statistics(r["row"]["text"])
+        assert r["stats"].asDict() == pytest.approx(stats, rel=1e-9)
+        total = model.constant
+        for rule, weight in model.rules:
+            held = all((stats[model.names[f]] <= v) == (side == "<=") for f, side, v in rule)
+            total += weight * held
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-6), r["row"]["doc_id"]
+
+
 @present
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -303,6 +362,32 @@ def test_preference_pairs(spark):
     assert (found[3]["n_prompt"], found[3]["rejected"], found[4]["prompt"]) == (0, "", "")
 
 
+def test_conversations_part_at_every_length(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}", "x") for c in range(40) for t in range(5)]
+    rows += [(None, t, "user", f"none {t}", "x") for t in (2, 1)] + [(77, 0, "user", "no neighbour", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["pair_id"]: r for r in queries.op9_preferences(spark, str(tmp_path)).collect()}
+    assert set(found) == {*range(40), 77, None} and {found[c]["n_prompt"] for c in range(40)} == {0, 1, 2, 3, 4, 5}
+    for c in range(40):
+        cut = zlib.crc32(str(c).encode()) % 6
+        assert found[c]["n_prompt"] == cut
+        assert [f" {t}<" in found[c]["rejected"] for t in range(5)] == [t >= cut for t in range(5)]
+        assert f"\n{c} " not in found[c]["rejected"] and (cut == 5 or f"\n{c ^ 1} " in found[c]["rejected"])
+    assert (found[None]["n_prompt"], found[None]["chosen"], found[None]["rejected"]) == (2, "", "")
+    assert found[None]["prompt"].index("none 1") < found[None]["prompt"].index("none 2")
+
+
+def test_mix_takes_some_of_many_equal_rows(spark):
+    rows = [(4, "a b", "s")] * 500 + [(None, "c", "s")] * 300 + [(i, "d e f", "t") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mix(frame).collect()
+    words = {}
+    for r in out:
+        words[r["source"]] = words.get(r["source"], 0) + r["taken"]
+    assert len(out) == len(rows)
+    assert all(abs(words[r["source"]] - r["target"]) <= 3 for r in out)
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (2, None, "s"), (3, "", "z")]
     out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

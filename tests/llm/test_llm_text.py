@@ -127,6 +127,14 @@ def test_one_of_each_keeps_one_row_of_repeated_ids(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "source", "root"]
 
 
+def test_a_column_named_like_the_key_stays(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(4, text, "s", "mine"), (4, text, "s", "yours"), (5, "other words", "s", "ours")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string")
+    assert sorted(r["__key"] for r in one_of_each(frame).collect())[-1] in ("mine", "yours", "ours")
+    assert {r["__key"] for r in mixed(frame).collect()} <= {"mine", "yours", "ours"}
+
+
 def test_mixed_repeats_rows(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3], "k") for i in range(200)] + [(5, None, None, "k")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
