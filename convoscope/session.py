@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "convoscope", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -47,6 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows to the shared folder and read them back, so that what is read twice is
+    worked out once and a lost executor costs nothing of it."""
+    spark = rows.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 #: Application ids whose executors were sent the package.
 _SHIPPED: set[str] = set()
 
