@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import math
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from convoscope.functions.calendar import wall_micros
 from convoscope.functions.numbers import percent, rounded
 from convoscope.functions.text import analysis_text, is_blank
+from convoscope.operators.answers import AnswerStore
 from convoscope.operators.arrange import arrange, lookup, running_sums
 from convoscope.operators.browse import first_per_group
 from convoscope.operators.classifiers import Classifier, FrameClassifier, Predictor
@@ -37,9 +37,6 @@ from convoscope.schema import DECISIONS
 from convoscope.session import ensure_checkpoint_dir, ship_package
 
 MESSAGE_KEY = ("chat_id", "msg_id")
-#: Rows whose states one model task takes, so tasks do not grow with the input.
-STATES_PER_TASK = 1_000
-
 _ANSWER = (
     "struct<question_key:string,decision_type:string,choice:string,number:double,"
     "confidence:double,probabilities:map<string,double>>"
@@ -135,14 +132,6 @@ def decode_answers(answer: Column) -> dict[str, Column]:
     }
 
 
-def _written(answers: DataFrame) -> DataFrame:
-    """The answers from a table of the shared folder, so that no model is run again."""
-    spark = answers.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
-    answers.write.parquet(folder)
-    return spark.read.schema(answers.schema).parquet(folder)
-
-
 def score(
     rows: DataFrame,
     questions: Sequence[Question],
@@ -152,6 +141,7 @@ def score(
     params: Params = DEFAULT,
     total: int | None = None,
     parallelism: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Every question about every row, each distinct state asked once.
 
@@ -161,8 +151,10 @@ def score(
     salted. Returns the other columns with one row per question. ``total`` is an
     upper bound of the rows, counted if not given.
 
-    The model runs here, once: its answers are written to the shared folder, and
-    whatever reads the result reads them from there.
+    The model runs here, once, on states that ``store`` doesn't answer yet: its answers
+    are written to the store, chunk by chunk, and whatever reads the result reads them
+    from there. Without a store they go to a new one in the shared folder. Model tasks
+    follow the states asked.
     """
     if not questions:
         raise ValueError("at least one question is required")
@@ -172,16 +164,17 @@ def score(
     packed = rows.withColumn("state", F.to_json(F.struct(*state), {"ignoreNullFields": "false"}))
     key = F.sha2(F.concat(F.lit(fingerprint(questions)), "state"), 256)
     keyed = packed.withColumn("state_key", key)
-    states = packed.select("state").distinct().withColumn("state_key", key)
-    # A model call costs far more than its bytes, so tasks are not merged by size.
-    tasks = parallelism or max(1, math.ceil(total / STATES_PER_TASK))
-    asked = states.repartition(tasks, "state_key")
-    if isinstance(classifier, FrameClassifier):
-        found = classifier.answer_states(asked, questions)
-        answers = found.select("state_key", F.col("answers").cast(f"array<{_ANSWER}>").alias("answers"))
-    else:
-        answers = asked.mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
-    answers = _written(answers)
+    # Combined before the shuffle, so a state of a third of all rows moves once a task.
+    states = keyed.select("state_key", "state").distinct()
+
+    def ask(asked: DataFrame) -> DataFrame:
+        if isinstance(classifier, FrameClassifier):
+            found = classifier.answer_states(asked, questions)
+            return found.select("state_key", F.col("answers").cast(f"array<{_ANSWER}>").alias("answers"))
+        return asked.mapInArrow(_ask(classifier, questions), _RAW_SCHEMA)
+
+    kept = store or AnswerStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}")
+    answers = kept.answers(states, classifier.name, questions, T.StructType.fromDDL(_RAW_SCHEMA), ask, parallelism)
     carried = [name for name in rows.columns if name not in state]
     answered = lookup(
         keyed.select(*carried, "state_key"),
@@ -350,15 +343,16 @@ def assess(
     limit: int | None = None,
     questions: Sequence[Question] = ASSESSMENT_QUESTIONS,
     params: Params = DEFAULT,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """The question set on every message not yet assessed, as new decisions.
 
-    Resumable: what ``decisions`` already answers is skipped, and blank texts are
-    never asked about. Replies to bids are scored by :func:`score_replies`.
+    Resumable: what ``decisions`` already answers is skipped, blank texts are never asked
+    about, and with a ``store`` a failed call keeps the chunks it had committed. Replies to bids are scored by :func:`score_replies`.
     """
     todo = unassessed(messages, decisions, offset, limit, params).select(*MESSAGE_KEY, "sender", "text")
     answers = score(
-        todo, questions, classifier, ["sender", "text"], params=params, total=messages.count()
+        todo, questions, classifier, ["sender", "text"], params=params, total=messages.count(), store=store
     )
     return as_decisions(answers, "message")
 
@@ -401,13 +395,14 @@ def score_replies(
     decisions: DataFrame,
     classifier: Classifier,
     params: Params = DEFAULT,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Whether the reply to each bid took it up, stored on the bid as ``bid_met``."""
     bids = bids_in(decisions).join(answered(decisions, BID_MET_KEY), list(MESSAGE_KEY), "left_anti")
     links = link_replies(messages, bids, params)
     rows = links.select(*MESSAGE_KEY, "response_id", "previous_message", "response")
     state = ["previous_message", "response"]
-    answers = score(rows, RESPONSE_QUESTIONS, classifier, state, params=params, total=messages.count())
+    answers = score(rows, RESPONSE_QUESTIONS, classifier, state, params=params, total=messages.count(), store=store)
     named = answers.withColumns(
         {
             "question_key": F.lit(BID_MET_KEY),
@@ -427,15 +422,16 @@ def run_assessment(
     offset: int | None = None,
     limit: int | None = None,
     params: Params = DEFAULT,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """C5 and C7 together: new answers about messages and about replies to their bids.
 
     Model answers are written before they are read again, so no model is run a
     second time for the reply step or after the loss of an executor.
     """
-    fresh = assess(messages, decisions, classifier, offset, limit, params=params)
+    fresh = assess(messages, decisions, classifier, offset, limit, params=params, store=store)
     known = decisions.select(*DECISIONS.fieldNames()).unionByName(fresh)
-    return fresh.unionByName(score_replies(messages, known, classifier, params))
+    return fresh.unionByName(score_replies(messages, known, classifier, params, store))
 
 
 def assessment_progress(

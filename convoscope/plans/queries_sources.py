@@ -19,6 +19,7 @@ from convoscope.plans.views import (
 )
 from convoscope.schema import DERIVED_COLUMNS, MESSAGES, evolve
 from convoscope.sources import exports, store
+from convoscope.sources.split import split_documents
 from convoscope.streaming.jobs import stream_sessions
 
 
@@ -133,10 +134,10 @@ def rejected_items(spark, folder):
     return exports.rejected_counts(exports.message_lines(_items(spark, folder)))
 
 
-def _exports(spark, folder):
-    """Every document as an export document of two messages.
+def _export_texts(spark, folder):
+    """Every document as the text of an export document of two messages, in ``whole``.
 
-    German ones carry no chat name, Spanish ones break off before the end.
+    German ones carry no chat name.
     """
     docs = spread(table(spark, folder, "documents"))
     date = F.date_format(
@@ -161,12 +162,49 @@ def _exports(spark, folder):
             F.array(said(1, F.col("text")), said(2, F.reverse("source"))).alias("messages"),
         )
     )
+    return docs.withColumn("whole", whole)
+
+
+def _exports(spark, folder):
+    """Export documents, parsed; Spanish ones break off before the end."""
     value = F.when(F.col("lang") == "es", F.expr("left(whole, length(whole) - 1)")).otherwise(F.col("whole"))
     return exports.parse_documents(
-        docs.withColumn("whole", whole).select(value.alias("value"), F.col("doc_id").cast("string").alias("source_file"))
+        _export_texts(spark, folder).select(value.alias("value"), F.col("doc_id").cast("string").alias("source_file"))
     )
 
 
+def _whole_and_broken(spark, folder):
+    """Every export document twice, once broken off within its last item."""
+    docs = _export_texts(spark, folder)
+    name = lambda kind: F.concat(F.col("doc_id").cast("string"), F.lit(kind)).alias("source_file")
+    broken = docs.select(F.expr("left(whole, length(whole) - 8)").alias("value"), name("-broken"))
+    return split_documents(docs.select(F.col("whole").alias("value"), name("-whole")).unionByName(broken))
+
+
+@register(
+    "split_documents",
+    with_ctes(
+        MSG_DOCS_SQL,
+        select="""
+        SELECT doc_id || kind AS source_file, doc_id AS chat_id, number AS msg_id, source AS sender_id, m.ts,
+               CASE number WHEN 1 THEN coalesce(d.text, '') ELSE reverse(source) END AS text
+        FROM documents d JOIN msg_docs m ON d.doc_id = m.msg_id,
+             (VALUES ('-whole', CAST(1 AS BIGINT)), ('-whole', 2), ('-broken', 1)) copies(kind, number)""",
+    ),
+)
+def split_documents_items(spark, folder):
+    found = exports.parse_items(_whole_and_broken(spark, folder).items)
+    return found.select("source_order.source_file", "chat_id", "msg_id", "sender_id", "ts", "text")
+
+
+@register(
+    "broken_documents",
+    """SELECT doc_id || '-broken' AS source_file, CAST(1 AS BIGINT) AS items_kept FROM documents""",
+)
+def broken_documents(spark, folder):
+    return _whole_and_broken(spark, folder).malformed.select("source_file", "items_kept")
+
+
 @register(
     "exported_documents",
     with_ctes(

@@ -4,10 +4,10 @@ An export is one JSON object ``{name, type, id, messages: [...]}``. Message item
 differ from one to the next (``text`` is a string or a list, ids are numbers or
 strings), so they are read as VARIANT and picked apart with column expressions.
 
-One export document is one record and is parsed by one task, whatever its size;
-many documents parallelise. The format for large data is therefore NDJSON, one
-message per line with its chat's header fields (``chat_id``, optionally
-``chat_name``, ``chat_type``) beside the item's own: it splits anywhere.
+Here one export document is one record and is parsed by one task; many documents
+parallelise. ``split`` reads documents of any size by ranges and keeps what stands
+before a break. NDJSON, one message per line with its chat's header fields (``chat_id``,
+optionally ``chat_name``, ``chat_type``) beside the item's own, splits anywhere.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Scoring jobs with deterministic classifiers."""
 
+import pathlib
 import sys
 from dataclasses import dataclass
 
@@ -8,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from convoscope.operators import scoring as S
+from convoscope.operators.answers import AnswerStore
 from convoscope.operators.classifiers import FirstOption, LengthRule, WordWeights, train_text_classifier
 from convoscope.operators.questions import (
     ASSESSMENT_QUESTIONS,
@@ -240,3 +242,79 @@ def test_decisions_are_replaced_by_key(spark, tmp_path):
     write_batch(old, str(tmp_path), 0)
     write_batch(new, str(tmp_path), 1)
     assert values(current_decisions(spark, str(tmp_path))) == {(1, "q"): "2", (1, "r"): "1"}
+
+
+def asked_of(log):
+    return log.read_text(encoding="utf-8").splitlines() if log.exists() else []
+
+
+def test_stored_answers_are_not_asked_again(spark, nothing, tmp_path):
+    log, df = tmp_path / "log", messages(spark, CHAT)
+    store, model = AnswerStore(str(tmp_path / "store")), Recorder(str(tmp_path / "log"), "kept")
+    first = values(S.run_assessment(df, nothing, model, store=store))
+    n = len(asked_of(log))
+    assert n == len(set(asked_of(log))) > 0
+    # Another call, also with more rows of the same states, asks nothing.
+    assert values(S.run_assessment(df, nothing, model, store=store)) == first and len(asked_of(log)) == n
+    more = messages(spark, CHAT + [("u2", 400, "nice")])
+    assert len(values(S.assess(more, nothing, model, store=store))) > len(first) - 3 and len(asked_of(log)) == n
+    # A new text is asked alone; a changed criterion and another model ask everything again.
+    S.assess(messages(spark, CHAT + [("u2", 400, "new")]), nothing, model, store=store).collect()
+    assert len(asked_of(log)) == n + 1
+    changed = list(question_set({"mood": {"type": "choice", "instructions": "Which mood?", "criteria": {"a": "one", "b": "two"}}}))
+    other = list(question_set({"mood": {"type": "choice", "instructions": "Which mood?", "criteria": {"a": "one", "b": "three"}}}))
+    for questions, model_, more_asked in ((changed, model, 4), (changed, model, 0), (other, model, 4), (other, Recorder(str(log), "second"), 4)):
+        before = len(asked_of(log))
+        S.assess(df, nothing, model_, questions=questions, store=store).collect()
+        assert len(asked_of(log)) == before + more_asked
+
+
+@dataclass(frozen=True)
+class Failing:
+    """Records what it is asked; while a file is there it fails once it was asked 12 states."""
+
+    path: str
+    flag: str
+    name: str = "failing"
+
+    def open(self):
+        inner = Recorder(self.path, "inner").open()
+
+        def predict(states, questions):
+            if pathlib.Path(self.flag).exists() and len(asked_of(pathlib.Path(self.path))) >= 12:
+                raise RuntimeError("model failed")
+            return inner(states, questions)
+
+        return predict
+
+
+def test_a_failed_assessment_goes_on_where_it_stopped(spark, nothing, tmp_path):
+    log, flag = tmp_path / "log", tmp_path / "flag"
+    df = messages(spark, [("u1", i, f"text {i % 40}") for i in range(80)])
+    store, model = AnswerStore(str(tmp_path / "store"), states_per_chunk=4), Failing(str(log), str(flag))
+    flag.touch()
+    with pytest.raises(Exception):
+        S.assess(df, nothing, model, store=store)
+    stored = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "store")).count()
+    assert 0 < stored < 40
+    flag.unlink()
+    log.unlink()
+    done = S.assess(df, nothing, model, store=store)
+    assert len(asked_of(log)) == 40 - stored
+    assert done.select("msg_id").distinct().count() == 80
+
+
+def test_model_tasks_follow_the_states_asked(spark):
+    rows = messages(spark, [("u1", i, "same") for i in range(30)]).select("chat_id", "msg_id", "sender_name", "text")
+    rows = rows.withColumnRenamed("sender_name", "sender")
+    asked = []
+
+    class Frame(WordWeights):
+        def answer_states(self, states, questions):
+            asked.append((states.rdd.getNumPartitions(), states.count()))
+            return super().answer_states(states, questions)
+
+    labelled = spark.createDataFrame([("same", 1.0), ("other", 0.0)], "text string, label double")
+    question = question_set({"glad": {"type": "noul", "instructions": "glad?"}})
+    S.score(rows, question, Frame({"glad": train_text_classifier(labelled)}), ["sender", "text"], total=10**9)
+    assert asked == [(1, 1)]
