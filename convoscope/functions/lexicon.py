@@ -175,7 +175,8 @@ FUNCTION_WORDS: Mapping[str, tuple[str, ...]] = {
     "quantifiers": QUANTIFIERS,
 }
 
-#: A lexicon travels inside the plan as literal sets, so its size is checked.
+#: A lexicon travels inside the plan as literal sets, so its size is checked; larger ones
+#: stay a table (``operators.markers``).
 MAX_WORDS = 50_000
 
 

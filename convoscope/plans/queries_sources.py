@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from convoscope.functions import text as T
@@ -18,7 +20,9 @@ from convoscope.plans.views import (
     table,
 )
 from convoscope.schema import DERIVED_COLUMNS, MESSAGES, evolve
+from convoscope.session import ensure_checkpoint_dir
 from convoscope.sources import exports, store
+from convoscope.sources.buckets import BucketStore, recounted
 from convoscope.sources.split import split_documents
 from convoscope.streaming.jobs import stream_sessions
 
@@ -266,6 +270,38 @@ def upsert_messages(spark, folder):
     return merged.select("chat_id", "msg_id", "sender_id", "text")
 
 
+def _bucketed(spark, folder):
+    """The messages and the second import as two commits of a bucketed store."""
+    first = msg_docs(spark, folder)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/messages-{uuid.uuid4().hex}"
+    kept = BucketStore(path, first.schema, ("chat_id", "msg_id"), buckets=64)
+    kept.commit(first, 1)
+    kept.commit(_revised(spark, folder), 2)
+    return kept
+
+
+@register(
+    "bucketed_messages",
+    with_ctes(MSG_DOCS_SQL, REVISED_SQL, select="SELECT chat_id, msg_id, sender_id, text FROM revised"),
+)
+def bucketed_messages(spark, folder):
+    return _bucketed(spark, folder).read(spark).select("chat_id", "msg_id", "sender_id", "text")
+
+
+@register(
+    "recounted_buckets",
+    with_ctes(
+        MSG_DOCS_SQL,
+        REVISED_SQL,
+        select="""SELECT chat_id, count(*) AS total_messages FROM revised
+                  WHERE chat_id IN (SELECT chat_id FROM msg_docs) GROUP BY chat_id""",
+    ),
+)
+def recounted_buckets(spark, folder):
+    chats = msg_docs(spark, folder).select("chat_id").distinct().withColumn("total_messages", F.lit(0).cast("bigint"))
+    return recounted(chats, _bucketed(spark, folder), 0)
+
+
 def _chats(spark, folder):
     return (
         table(spark, folder, "documents")

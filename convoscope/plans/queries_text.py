@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convoscope.functions import lexicon as X
 from convoscope.functions import text as T
 from convoscope.operators import aggregates as A
+from convoscope.operators.markers import default_entries, with_entry_features
 from convoscope.plans.queries_lexical import tokens_sql, word_list
 from convoscope.plans.registry import register, with_ctes
 from convoscope.plans.views import MSG_DOCS_SQL, MSG_TEXT_SQL, msg_docs, msg_text, spread, table
@@ -84,6 +85,16 @@ def message_features(spark, folder):
     return _features(msg_docs(spark, folder))
 
 
+@register(
+    "message_features_joined",
+    with_ctes(MSG_DOCS_SQL, features_sql("msg_docs"), select=f"SELECT {_FEATURES} FROM features"),
+)
+def message_features_joined(spark, folder):
+    """The word lists as a table that is joined, as lists of any size are."""
+    counted = with_entry_features(msg_docs(spark, folder), default_entries(spark), most=0)
+    return counted.select("chat_id", "msg_id", "sender_id", *DERIVED_COLUMNS)
+
+
 @register(
     "message_features_turns",
     with_ctes(MSG_TEXT_SQL, features_sql("msg_text"), select=f"SELECT {_FEATURES} FROM features"),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from convoscope.functions import text as T
 from convoscope.functions.lexicon import Lexicon
+from convoscope.functions.text import with_features
+from convoscope.operators.markers import default_entries, with_entry_features
 from helpers import messages
 
 
@@ -135,3 +137,21 @@ def test_own_lexicon(spark):
 def test_lexicon_must_be_complete():
     with pytest.raises(ValueError):
         Lexicon(token_markers={"affection": ("x",)})
+
+
+def test_large_lists_equal_literal_ones(spark):
+    said = ["Hey dear friend, sorry sorry!", "ok", "OK!!", "what now", "", "always and never us", "thank you my love", "می دونم باشه", None]
+    df = messages(spark, [("u1", i, t) for i, t in enumerate(said)])
+    small = with_features(df)
+    extra = spark.createDataFrame([("affection", f"word{i}") for i in range(60_000)] + [("affection", "Hey"), ("other", "x"), ("apology", None)], "category string, token string")
+    assert with_entry_features(df, default_entries(spark), most=3).orderBy("msg_id").collect() == small.orderBy("msg_id").collect()
+    large = with_entry_features(df, default_entries(spark).unionByName(extra))
+    assert large.dtypes == small.dtypes
+    by = lambda rows: [{**r.asDict(), "affection_count": r["affection_count"] - ("Hey" in (r["text"] or "") and more)} for r in rows.orderBy("msg_id").collect()]
+    more = 1
+    found = by(large)
+    more = 0
+    assert found == by(small)
+    # Categories that are not given keep their lists.
+    alone = with_entry_features(df, extra.where("category = 'affection'"))
+    assert [r["apology_count"] for r in alone.orderBy("msg_id").collect()] == [r["apology_count"] for r in small.orderBy("msg_id").collect()]
