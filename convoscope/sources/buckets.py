@@ -48,26 +48,27 @@ class BucketStore:
         return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self, spark: SparkSession) -> dict:
-        """The newest: ``commit`` (0 before the first) and per bucket its folder and rows."""
+        """The newest: ``commit`` (0 before the first), per bucket its folder and rows, and
+        ``source``, what a derived table was worked out from."""
         root, files = self._files(spark)
         names = sorted(f.getPath().getName() for f in files.listStatus(root)) if files.exists(root) else []
         names = [n for n in names if n.endswith(".json")]
         if not names:
-            return {"commit": 0, "buckets": {}}
+            return {"commit": 0, "buckets": {}, "source": 0}
         text = spark.read.option("wholetext", True).text(f"{self.path}/manifests/{names[-1]}").first()["value"]
         found = json.loads(text)
         if found["of"] != self.buckets:
             raise ValueError(f"{self.path} has {found['of']} buckets, not {self.buckets}")
         return found
 
-    def _publish(self, spark: SparkSession, commit: int, buckets: dict) -> None:
+    def _publish(self, spark: SparkSession, commit: int, buckets: dict, source: int = 0) -> None:
         root, files = self._files(spark)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         name = f"{commit:012d}.json"
         draft = path(root, f"_{name}-{uuid.uuid4().hex}")
         out = files.create(draft, False)
         try:
-            out.write(json.dumps({"commit": commit, "of": self.buckets, "buckets": buckets}).encode())
+            out.write(json.dumps({"commit": commit, "of": self.buckets, "buckets": buckets, "source": source}).encode())
         finally:
             out.close()
         # The whole file appears at once; a commit that another call has made stays.
@@ -100,9 +101,17 @@ class BucketStore:
         wanted = {r["b"] for r in some.select(self.bucket().alias("b")).distinct().collect()}
         return self._stored(spark, manifest, wanted).where(F.col(self.by).isin(list(chats))).drop("batch")
 
-    def changed(self, spark: SparkSession, after: int) -> DataFrame:
-        """Values of ``by`` that commits later than ``after`` touched."""
-        commits = range(after + 1, self.manifest(spark)["commit"] + 1)
+    def read_of(self, ids: DataFrame, manifest: dict | None = None) -> DataFrame:
+        """Rows of the values of ``by`` in ``ids``, from their buckets alone, as of a manifest."""
+        spark = ids.sparkSession
+        wanted = {r["b"] for r in ids.select(self.bucket().alias("b")).distinct().collect()}
+        stored = self._stored(spark, manifest or self.manifest(spark), wanted).drop("batch")
+        return stored.join(ids.select(self.by).distinct(), self.by, "left_semi")
+
+    def changed(self, spark: SparkSession, after: int, upto: int | None = None) -> DataFrame:
+        """Values of ``by`` that commits later than ``after`` touched, to ``upto``."""
+        last = self.manifest(spark)["commit"] if upto is None else upto
+        commits = range(after + 1, last + 1)
         kind = T.StructType([self.schema[self.by]])
         if not commits:
             return spark.createDataFrame([], kind)
@@ -135,7 +144,22 @@ class BucketStore:
         old = self._stored(spark, manifest, touched.keys()).withColumn("bucket", self.bucket())
         return self._write(spark, manifest, old.join(gone, self.by, "left_anti"), touched, gone)
 
-    def _write(self, spark: SparkSession, manifest: dict, rows: DataFrame, touched: dict[int, int], changed: DataFrame) -> int:
+    def replace(self, ids: DataFrame, rows: DataFrame, source: int = 0) -> int:
+        """What is stored for the values of ``by`` in ``ids`` becomes ``rows``, which hold
+        each key once; rows of other values stay. ``source`` goes into the manifest, so the
+        table and what it was worked out from change together."""
+        spark = ids.sparkSession
+        gone = staged(ids.select(self.by).distinct(), "replaced")
+        manifest = self.manifest(spark)
+        named = rows.select(*self.schema.fieldNames(), F.lit(source).cast("bigint").alias("batch"))
+        fresh = staged(named.withColumn("bucket", self.bucket()), "fresh")
+        touched = {r["b"]: 0 for r in gone.select(self.bucket().alias("b")).distinct().collect()}
+        touched |= {r["bucket"]: r["count"] for r in fresh.groupBy("bucket").count().collect()}
+        old = self._stored(spark, manifest, touched.keys()).withColumn("bucket", self.bucket())
+        kept = old.join(gone, self.by, "left_anti").unionByName(fresh)
+        return self._write(spark, manifest, kept, touched, gone, source)
+
+    def _write(self, spark: SparkSession, manifest: dict, rows: DataFrame, touched: dict[int, int], changed: DataFrame, source: int = 0) -> int:
         commit, folder = manifest["commit"] + 1, f"data/{uuid.uuid4().hex}"
         most = {b: manifest["buckets"].get(str(b), {"rows": 0})["rows"] + n for b, n in touched.items()}
         parts = [(b, max(1, math.ceil(n / self.rows_per_file))) for b, n in most.items()]
@@ -149,7 +173,7 @@ class BucketStore:
         counted = spark.read.schema(T.StructType([*rows.schema.fields])).parquet(f"{self.path}/{folder}").groupBy("bucket").count()
         written = {r["bucket"]: r["count"] for r in counted.collect()} if touched else {}
         entries = {str(b): {"folder": f"{folder}/bucket={b}", "rows": written.get(b, 0)} for b in touched}
-        self._publish(spark, commit, manifest["buckets"] | entries)
+        self._publish(spark, commit, manifest["buckets"] | entries, source)
         return commit
 
 
