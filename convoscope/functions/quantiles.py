@@ -11,7 +11,12 @@ VALUE_BUCKET = 60_000
 
 
 def group_quantiles(
-    values: DataFrame, keys: Sequence[str], value: str, crowded: bool, prefix: str = ""
+    values: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    crowded: bool,
+    prefix: str = "",
+    weight: str | None = None,
 ) -> DataFrame:
     """Per group of ``keys``: ``n``, ``total``, ``median`` and ``p90`` of an integer column.
 
@@ -21,10 +26,11 @@ def group_quantiles(
     Spark's own percentile keeps the distinct values of a group in one buffer.
     That is right while no group can be large. For ``crowded`` input the values
     are first counted (combined map-side), a coarse histogram finds the value
-    range holding each wanted rank, and only those ranges are searched.
+    range holding each wanted rank, and only those ranges are searched. Values that come
+    with a count, in the column ``weight``, take this way as well.
     """
     keys = list(keys)
-    if not crowded:
+    if not crowded and weight is None:
         return values.groupBy(*keys).agg(
             F.count(value).alias(f"{prefix}n"),
             F.sum(value).alias(f"{prefix}total"),
@@ -34,7 +40,7 @@ def group_quantiles(
             .alias(f"{prefix}p90"),
         )
 
-    counts = values.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = values.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     counts = counts.withColumn("_bucket", F.expr(f"`{value}` div {VALUE_BUCKET}"))
     ranges = counts.groupBy(*keys, "_bucket").agg(
         F.sum("_c").alias("_in"), F.sum(F.col("_c") * F.col(value)).alias("_sum")

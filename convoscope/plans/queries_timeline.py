@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from convoscope.operators import aggregates as A
 from convoscope.operators import timeline as W
+from convoscope.plans.latencies import StoredLatencies
 from convoscope.plans.registry import register, with_ctes
 from convoscope.plans.views import MSG_EVENTS_SQL, msg_events
+from convoscope.session import ensure_checkpoint_dir, staged
+from convoscope.sources.buckets import BucketStore
 
 from pyspark.sql import functions as F
 
@@ -120,6 +125,43 @@ def latency_periods(spark, folder):
     return W.latency_periods(msg_events(spark, folder))
 
 
+def _in_batches(spark, folder):
+    """The messages in three batches, each a later stretch of time, counted as they come."""
+    rows = staged(msg_events(spark, folder).select("chat_id", "msg_id", "sender_id", "us", "reply_to_msg_id"), "events")
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    third = ((last or 0) - (first or 0)) // 3 + 1
+    numbered = rows.withColumn("_batch", F.expr(f"(us - {first or 0}) div {third}"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/latencies-{uuid.uuid4().hex}"
+    messages = BucketStore(f"{path}/messages", rows.schema, ("chat_id", "msg_id"), buckets=16)
+    kept = StoredLatencies(messages, path, buckets=16)
+    for batch in range(3):
+        kept.commit(numbered.filter(F.col("_batch") == batch).drop("_batch"), batch + 1)
+    return kept
+
+
+@register(
+    "batched_reply_times",
+    _ctes(
+        LATENCY_SQL,
+        select=f"SELECT chat_id, sender_id, {_STATS} FROM latencies WHERE in_window GROUP BY ALL",
+    ),
+)
+def batched_reply_times(spark, folder):
+    return _in_batches(spark, folder).stats(spark)
+
+
+@register(
+    "batched_latency_periods",
+    _ctes(
+        LATENCY_SQL,
+        SPANS_SQL,
+        select=f"SELECT chat_id, sender_id, period, {_STATS} FROM dated WHERE in_window GROUP BY ALL",
+    ),
+)
+def batched_latency_periods(spark, folder):
+    return _in_batches(spark, folder).periods(spark)
+
+
 @register(
     "bursts",
     _ctes(
