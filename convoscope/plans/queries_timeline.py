@@ -126,15 +126,15 @@ def latency_periods(spark, folder):
 
 
 def _in_batches(spark, folder):
-    """The messages in three batches, each a later stretch of time, counted as they come."""
+    """The messages in two batches, the second goes on where the first ends, counted as they come."""
     rows = staged(msg_events(spark, folder).select("chat_id", "msg_id", "sender_id", "us", "reply_to_msg_id"), "events")
     first, last = rows.agg(F.min("us"), F.max("us")).first()
-    third = ((last or 0) - (first or 0)) // 3 + 1
-    numbered = rows.withColumn("_batch", F.expr(f"(us - {first or 0}) div {third}"))
+    half = ((last or 0) - (first or 0)) // 2 + 1
+    numbered = rows.withColumn("_batch", F.expr(f"(us - {first or 0}) div {half}"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/latencies-{uuid.uuid4().hex}"
     messages = BucketStore(f"{path}/messages", rows.schema, ("chat_id", "msg_id"), buckets=16)
     kept = StoredLatencies(messages, path, buckets=16)
-    for batch in range(3):
+    for batch in range(2):
         kept.commit(numbered.filter(F.col("_batch") == batch).drop("_batch"), batch + 1)
     return kept
 
