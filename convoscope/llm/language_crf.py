@@ -80,16 +80,21 @@ class Tokens:
     size: int
 
 
+def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case code points of all texts in one array, which of them are letters, and
+    where each text begins (one more at the end)."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer(" ".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return points, letters()[points], np.cumsum([1, *(len(t) + 1 for t in lower)])
+
+
 def tokens(texts: list[str], bits: int) -> Tokens:
-    """Code points of all texts in one array, a boundary (0) wherever there is no letter."""
-    joined = " ".join(["", *texts, ""]).lower()
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    inside = letters()[points]
+    """Features of the words of texts, a boundary (0) wherever there is no letter."""
+    points, inside, begins = spelled(texts)
     points = np.where(inside, points, 0).astype(np.uint64)
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    lengths = np.array([0, *(len(t.lower()) + 1 for t in texts)], dtype=np.int64)
-    first = np.searchsorted(starts, np.cumsum(lengths) + 1)
+    first = np.searchsorted(starts, begins)
     mask, shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
 
     def bucket(x: np.ndarray) -> np.ndarray:
@@ -136,6 +141,31 @@ def emissions(t: Tokens, emit: np.ndarray) -> np.ndarray:
     return np.add.reduceat(total, t.word_starts, axis=0).astype(np.float64)
 
 
+class WordScores:
+    """Emissions of words. Features end at a word's boundaries, so a word that occurs again
+    is looked up and not scored again; beyond ``most`` words what is known is forgotten."""
+
+    def __init__(self, model: CrfModel, most: int = 100_000):
+        self.model, self.most = model, most
+        self.place: dict[str, int] = {}
+        self.known = np.zeros((0, len(model.labels)))
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's emissions, and the first word of each text (one more at the end)."""
+        points, inside, begins = spelled(texts)
+        first = np.searchsorted(np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, begins)
+        words = np.where(inside, points, 32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+        if len(self.place) > self.most:
+            self.place, self.known = {}, self.known[:0]
+        place = self.place
+        new = [word for word in dict.fromkeys(words) if word not in place]
+        if new:
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            self.known = np.concatenate([self.known, emissions(tokens(new, self.model.bits), self.model.emit)])
+        at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.known[at], first
+
+
 def forward_backward(scores: np.ndarray, first: np.ndarray, move: np.ndarray):
     """Each word's label probabilities, and the expected transitions (from by to).
 
@@ -189,25 +219,32 @@ def marginals(scores: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.nda
     longest = int(lengths[0]) if len(lengths) else 0
     alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
     # Rows in the order of the steps, so that each step is one slice.
-    edges = np.concatenate([[0], np.cumsum(alive)]).astype(np.int64)
-    rank = np.empty(len(here), dtype=np.int64)
+    edges = [0, *np.cumsum(alive).tolist()]
     for_step = np.repeat(np.arange(longest), alive)
-    chain = np.arange(edges[-1]) - np.repeat(edges[:-1], alive)
+    chain = np.arange(edges[-1]) - np.repeat(np.array(edges[:-1], dtype=np.int64), alive)
     rank = begin[chain] + for_step
     ordered = here[rank]
+    # A step divides the largest entry by no more than exp(range of move), so a sum of one
+    # is only restored before that could leave the range of doubles.
+    every = int(np.clip(200 / max(1e-9, move.max() - move.min()), 1, 16)) if move.size else 1
     alpha = np.empty_like(ordered)
     for t in range(longest):
         a, b = edges[t], edges[t + 1]
-        if t == 0:
-            now = ordered[a:b]
+        now = alpha[a:b]
+        if t:
+            np.matmul(alpha[edges[t - 1] : edges[t - 1] + (b - a)], step, out=now)
+            now *= ordered[a:b]
         else:
-            now = (alpha[edges[t - 1] : edges[t - 1] + (b - a)] @ step) * ordered[a:b]
-        alpha[a:b] = now / now.sum(axis=1, keepdims=True)
+            now[:] = ordered[a:b]
+        if t % every == 0:
+            now /= now.sum(axis=1, keepdims=True)
     beta = np.ones_like(ordered)
     for t in range(longest - 1, 0, -1):
         a, b = edges[t], edges[t + 1]
-        now = (ordered[a:b] * beta[a:b]) @ back_step
-        beta[edges[t - 1] : edges[t - 1] + (b - a)] = now / now.sum(axis=1, keepdims=True)
+        now = beta[edges[t - 1] : edges[t - 1] + (b - a)]
+        np.matmul(ordered[a:b] * beta[a:b], back_step, out=now)
+        if t % every == 0:
+            now /= now.sum(axis=1, keepdims=True)
     alpha *= beta
     alpha /= alpha.sum(axis=1, keepdims=True)
     out = np.empty_like(alpha)
@@ -301,23 +338,24 @@ def fit_language(docs: DataFrame, allowed: Column, params: CrfParams = CrfParams
     return train([r["text"] for r in rows], [place[r["lang"]] for r in rows], labels, params)
 
 
-def predict(texts: list[str], model: CrfModel) -> list[tuple[str, float, list[float]]]:
+def predict(texts: list[str], words: WordScores) -> list[tuple[str, float, list[float]]]:
     """For each text: language, its share of the words, and every label's expected words."""
-    t = tokens(texts, model.bits)
-    if not t.n:
+    model = words.model
+    scores, first = words.of(texts)
+    if not len(scores):
         return [(UNKNOWN, 0.0, [0.0] * len(model.labels)) for _ in texts]
-    found = marginals(emissions(t, model.emit), t.first, model.move)
-    sums = np.zeros((t.n + 1, found.shape[1]))
+    found = marginals(scores, first, model.move)
+    sums = np.zeros((len(found) + 1, found.shape[1]))
     np.cumsum(found, axis=0, out=sums[1:])
     out = []
     for i in range(len(texts)):
-        a, b = t.first[i], t.first[i + 1]
+        a, b = first[i], first[i + 1]
         if a == b:
             out.append((UNKNOWN, 0.0, [0.0] * len(model.labels)))
             continue
-        words = np.maximum(sums[b] - sums[a], 0.0)
-        best = int(np.argmax(words))
-        out.append((model.labels[best], float(min(1.0, words[best] / (b - a))), [float(v) for v in words]))
+        each = np.maximum(sums[b] - sums[a], 0.0)
+        best = int(np.argmax(each))
+        out.append((model.labels[best], float(min(1.0, each[best] / (b - a))), [float(v) for v in each]))
     return out
 
 
@@ -326,16 +364,20 @@ def label_language(docs: DataFrame, model: CrfModel | None, text: str = "text")
     that language) and ``lang_words``, each language's expected number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    scores: list[WordScores] = []  # a task's own: filled where it runs
+
     def work(column: pa.Array) -> list[pa.Array]:
         m = shared.value
         texts = [t or "" for t in column.to_pylist()]
         if m is None:
             found = [(UNKNOWN, 0.0, []) for _ in texts]
         else:
+            if not scores:
+                scores.append(WordScores(m))
             sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             found = []
             for a, b in bw.chunks(sizes, CHUNK):
-                found += predict(texts[a:b], m)
+                found += predict(texts[a:b], scores[0])
         names = m.labels if m else ()
         words = [[(name, value) for name, value in zip(names, f[2])] for f in found]
         return [

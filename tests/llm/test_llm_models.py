@@ -393,3 +393,32 @@ def test_mix_of_odd_rows(spark):
     out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(out) == 5 and all(r["taken"] <= 3 * r["size"] for r in out)
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_language_words_are_scored_once_and_steps_keep_their_range():
+    from convoscope.llm import language_crf as crf
+
+    rng = np.random.default_rng(3)
+    model = crf.CrfModel(("a", "b", "c"), rng.normal(size=(1 << 10, 3)).astype(np.float32), rng.normal(size=(3, 3)), 10)
+    texts = ["Der Hund, der Hund 4 ÀÉ bellt.", "", "77", "x hund\ud800ΣΑΣ der " * 40]
+    scores = crf.WordScores(model, most=5)
+    for _ in range(3):
+        found, first = scores.of(texts)
+        plain = crf.tokens(texts, model.bits)
+        assert list(first) == list(plain.first)
+        assert np.allclose(found, crf.emissions(plain, model.emit), atol=1e-5)
+    counted, tokens = [], crf.tokens
+    scores = crf.WordScores(model)
+    scores.of(texts)
+    crf.tokens = lambda new, bits: counted.append(new) or tokens(new, bits)
+    try:
+        scores.of(texts[::-1])
+        scores.of(["der neue hund"])
+    finally:
+        crf.tokens = tokens
+    assert counted == [["neue"]]
+    for spread in (1.0, 30.0, 600.0):  # transitions so far apart that products leave the doubles' range
+        move, first = rng.normal(size=(3, 3)), np.array([0, 300, 300, 307, 900])
+        move = spread * (move - move.min()) / (move.max() - move.min())
+        seen = rng.normal(size=(900, 3)) * 5
+        assert np.allclose(crf.marginals(seen, first, move), crf.forward_backward(seen, first, move)[0], atol=1e-9)
