@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from convoscope.session import staged
@@ -124,16 +124,17 @@ class BucketStore:
         batch need ``batch_seq`` to order them."""
         spark = rows.sparkSession
         if "batch_seq" in rows.columns:
-            rows = latest(rows, self.keys, "batch_seq")
-        elif not rows.groupBy(*self.keys).count().where("count > 1").isEmpty():
-            raise ValueError(f"a key of {', '.join(self.keys)} repeats and there is no batch_seq")
+            rows, unique = latest(rows, self.keys, "batch_seq"), True
+        else:
+            unique = False
         names = self.schema.fieldNames()
         fresh = staged(rows.select(*names, F.lit(batch).cast("bigint").alias("batch")).withColumn("bucket", self.bucket()), "batch")
+        if not unique and not fresh.groupBy(*self.keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"a key of {', '.join(self.keys)} repeats and there is no batch_seq")
         manifest = self.manifest(spark)
         new = {r["bucket"]: r["count"] for r in fresh.groupBy("bucket").count().collect()}
         old = self._stored(spark, manifest, new.keys()).withColumn("bucket", self.bucket())
-        merged = latest(old.unionByName(fresh), [*self.keys, "bucket"], "batch")
-        return self._write(spark, manifest, merged, new, fresh.select(self.by))
+        return self._write(spark, manifest, old.unionByName(fresh), new, fresh.select(self.by), merge=True)
 
     def delete(self, ids: DataFrame) -> int:
         """Take the values of ``by`` in ``ids`` out; their buckets are rewritten."""
@@ -159,7 +160,7 @@ class BucketStore:
         kept = old.join(gone, self.by, "left_anti").unionByName(fresh)
         return self._write(spark, manifest, kept, touched, gone, source)
 
-    def _write(self, spark: SparkSession, manifest: dict, rows: DataFrame, touched: dict[int, int], changed: DataFrame, source: int = 0) -> int:
+    def _write(self, spark: SparkSession, manifest: dict, rows: DataFrame, touched: dict[int, int], changed: DataFrame, source: int = 0, merge: bool = False) -> int:
         commit, folder = manifest["commit"] + 1, f"data/{uuid.uuid4().hex}"
         most = {b: manifest["buckets"].get(str(b), {"rows": 0})["rows"] + n for b, n in touched.items()}
         parts = [(b, max(1, math.ceil(n / self.rows_per_file))) for b, n in most.items()]
@@ -168,7 +169,12 @@ class BucketStore:
         spread = rows.join(F.broadcast(plan), "bucket").withColumn("part", salt).repartition(
             max(1, sum(n for _, n in parts)), "bucket", "part"
         )
-        spread.drop("parts", "part").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        if merge and any(str(b) in manifest["buckets"] for b in touched):
+            # Rows of one key meet in one part, so the latest of each is picked where it is
+            # written: one shuffle and one sort serve the merge and the layout.
+            order = Window.partitionBy("bucket", "part", *self.keys).orderBy(F.col("batch").desc())
+            spread = spread.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+        spread.select(*rows.columns).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}")
         changed.distinct().write.mode("overwrite").parquet(f"{self.path}/changes/commit={commit}")
         counted = spark.read.schema(T.StructType([*rows.schema.fields])).parquet(f"{self.path}/{folder}").groupBy("bucket").count()
         written = {r["bucket"]: r["count"] for r in counted.collect()} if touched else {}
