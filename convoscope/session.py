@@ -53,7 +53,7 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     worked out once and a lost executor costs nothing of it."""
     spark = rows.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 

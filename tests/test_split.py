@@ -118,3 +118,12 @@ def test_header_of_a_broken_document(spark):
     found = split_documents(frame)
     assert shown(found.items) == {"a": [(4, "N", "t", '{"id":1}'), (4, "N", "t", '{"id":2}')]}
     assert found.malformed.first()["cause"].startswith("not an item: , {")
+
+
+def test_staged_texts_are_written_densely(spark):
+    from convoscope.session import staged
+
+    words = spark.range(2000).selectExpr("concat_ws(' ', id, id * 7, 'some words of a text', id % 13) AS value")
+    found = staged(words, "dense")
+    assert found.inputFiles() and all(".zstd." in name for name in found.inputFiles())
+    assert sorted(found.collect()) == sorted(words.collect())
