@@ -19,7 +19,7 @@ header fields or one item.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -32,13 +32,68 @@ _KEY = r'(?s)^(.*?"messages"\s*:\s*\[)'
 _PLACE = ["doc", "range", "at"]
 
 
-@dataclass(frozen=True)
 class SplitExports:
     """``items`` as ``read_exports`` gives them, and ``malformed``: file, cause, and the
-    number of items before the break."""
+    number of items before the break. Each is worked out when it is asked for; what says
+    only which items can be read holds none of them."""
+
+    def __init__(self, docs: DataFrame, groups: DataFrame, heads: DataFrame, tails: DataFrame):
+        self._docs, self._groups, self._heads, self._tails = docs, groups, heads, tails
+
+    @cached_property
+    def _parsed(self) -> DataFrame:
+        n = F.when(F.col("found").isNotNull(), F.size("found"))
+        return staged(self._groups.withColumn("n", n), "items")
+
+    @cached_property
+    def _checked(self) -> DataFrame:
+        """Per group of a document its number, first characters and items, null if unreadable."""
+        if "_parsed" in self.__dict__:
+            return self._parsed.select("doc", "number", "text", "n")
+        n = F.when(F.col("found").isNotNull(), F.size("found")).alias("n")
+        return staged(self._groups.select("doc", "number", "text", n), "checked")
+
+    @cached_property
+    def _known(self) -> DataFrame:
+        """Per document: where it breaks, and what stands beside its messages."""
+        bad = self._checked.where(F.col("n").isNull()).groupBy("doc").agg(F.min(F.struct("number", "text")).alias("bad"))
+        known = self._docs.join(bad, "doc", "left").join(self._heads, "doc", "left").join(self._tails, "doc", "left")
+        whole = F.try_parse_json(F.when(F.col("close").isNotNull(), F.concat("before", F.lit("]"), F.coalesce("behind", F.lit("")))))
+        return staged(
+            known.withColumn("whole", whole).select(
+                "doc", "open", "close", "bad", (F.col("whole").isNotNull() & (F.col("left_open") == 0)).alias("readable"),
+                F.coalesce("whole", F.try_parse_json(F.concat("before", F.lit("]}")))).alias("header"),
+            ),
+            "headers",
+        )
 
-    items: DataFrame
-    malformed: DataFrame
+    def _kept(self, groups: DataFrame) -> DataFrame:
+        """The groups before the break of a document, with the document's header."""
+        get = lambda path, kind, default: F.coalesce(F.try_variant_get("header", path, kind), F.lit(default).cast(kind))
+        header = self._known.select(
+            "doc", get("$.id", "bigint", DEFAULT_ID).alias("external_id"), get("$.name", "string", DEFAULT_NAME).alias("name"),
+            get("$.type", "string", DEFAULT_TYPE).alias("type"), F.col("bad.number").alias("bad"),
+        )
+        return groups.join(header, "doc").where(F.col("bad").isNull() | (F.col("number") < F.col("bad")))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        rows = self._kept(self._parsed)
+        return rows.select("external_id", "name", "type", "doc", "number", F.posexplode("found").alias("place", "item")).select(
+            "external_id", "name", "type",
+            F.struct(F.col("doc").alias("source_file"), F.col("number").alias("group"), "place").alias("source_order"), "item",
+        )
+
+    @cached_property
+    def malformed(self) -> DataFrame:
+        counts = self._kept(self._checked).groupBy("doc").agg(F.sum("n").cast("bigint").alias("n"))
+        cause = (
+            F.when(F.col("open").isNull(), "no message array").when(F.col("bad").isNotNull(), F.concat(F.lit("not an item: "), F.trim("bad.text")))
+            .when(F.col("close").isNull(), "the message array does not end").when(~F.col("readable"), "not readable beside the messages")
+        )
+        return self._known.withColumn("cause", cause).where(F.col("cause").isNotNull()).join(counts, "doc", "left").select(
+            F.col("doc").alias("source_file"), "cause", F.coalesce("n", F.lit(0).cast("bigint")).alias("items_kept")
+        )
 
 
 def read_split_exports(spark: SparkSession, path: str) -> SplitExports:
@@ -64,18 +119,19 @@ def split_documents(texts: DataFrame) -> SplitExports:
     )
 
 
-def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\.|\\$", "")
+def _skeleton(text: Column) -> Column:
+    """Quotes and brackets of a text in order, without escaped ones; long runs of all else
+    go in one match each, and what follows works on these few characters."""
+    return F.regexp_replace(text, r'(?s)[^"\[\]{}\\]+|\\.|\\$', "")
 
 
-def _brackets(text: Column, outside: int) -> Column:
-    """Brackets of an unescaped text outside its strings, if it begins outside (0) or inside (1)."""
-    parts = F.filter(F.split(text, '"'), lambda _, i: i % 2 == outside)
-    return F.regexp_replace(F.array_join(parts, ""), r"[^\[\]{}]", "")
+def _brackets(skeleton: Column, outside: int) -> Column:
+    """Brackets outside strings, if the skeleton begins outside (0) or inside (1) of one."""
+    return F.array_join(F.filter(F.split(skeleton, '"'), lambda _, i: i % 2 == outside), "")
 
 
-def _quotes(text: Column) -> Column:
-    return F.size(F.split(text, '"')) - 1
+def _quotes(skeleton: Column) -> Column:
+    return F.length(skeleton) - F.length(F.translate(skeleton, '"', ""))
 
 
 def _net(brackets: Column) -> Column:
@@ -95,16 +151,19 @@ def _lowest(brackets: Column) -> Column:
 
 def _fragments(pieces: DataFrame) -> DataFrame:
     """What each fragment does to the state, for both cases."""
-    plain = _unescaped(F.col("value"))
     head = F.when(F.contains("value", F.lit('"messages"')), F.regexp_extract("value", _KEY, 1))
-    rest = F.substring("value", F.length("head") + 1, F.length("value"))
-    keyed = pieces.withColumn("head", F.nullif(head, F.lit("")))
+    keyed = pieces.withColumn("head", F.nullif(head, F.lit(""))).withColumn("bones", _skeleton(F.col("value"))).withColumn(
+        "head_bones", _skeleton(F.col("head"))
+    )
+    # The head ends with a bracket that nothing escapes, so the skeleton can be cut there.
+    rest = F.substring("bones", F.length("head_bones") + 1, F.length("bones"))
+    bones, head_bones = F.col("bones"), F.col("head_bones")
     return keyed.select(
-        *_PLACE, "bytes", F.octet_length("value").alias("size"), _quotes(plain).alias("quotes"),
-        _brackets(plain, 0).alias("brackets_0"), _brackets(plain, 1).alias("brackets_1"),
-        F.length("head").alias("head"), _quotes(_unescaped(F.col("head"))).alias("head_quotes"),
-        _brackets(_unescaped(F.col("head")), 0).alias("head_0"), _brackets(_unescaped(F.col("head")), 1).alias("head_1"),
-        F.when(F.col("head").isNotNull(), _lowest(_brackets(_unescaped(rest), 0))).alias("rest_low"), "value",
+        *_PLACE, "bytes", F.octet_length("value").alias("size"), _quotes(bones).alias("quotes"),
+        _brackets(bones, 0).alias("brackets_0"), _brackets(bones, 1).alias("brackets_1"),
+        F.length("head").alias("head"), _quotes(head_bones).alias("head_quotes"),
+        _brackets(head_bones, 0).alias("head_0"), _brackets(head_bones, 1).alias("head_1"),
+        F.when(F.col("head").isNotNull(), _lowest(_brackets(rest, 0))).alias("rest_low"), "value",
     )
 
 
@@ -222,43 +281,12 @@ def split_fragments(pieces: DataFrame) -> SplitExports:
     groups = joined(items, "doc", "number", "close")
     # After the first item a comma comes before the next; after the last nothing but the end.
     body = F.when(F.col("number") == 0, F.col("text")).otherwise(F.regexp_extract("text", r"(?s)^\s*,(.*\S.*)$", 1))
-    ended = F.col("close").isNotNull() & (F.trim(F.regexp_replace("text", r"\s", "")) == "")
-    parsed = staged(
-        groups.select("doc", "number", "text", F.when(ended, F.lit("[]")).when(
-            (F.col("number") == 0) | (body != ""), F.concat(F.lit("["), body, F.lit("]"))
-        ).alias("body")).select(
-            "doc", "number", F.substring("text", 1, 200).alias("text"), F.try_parse_json("body").cast("array<variant>").alias("found")
-        ),
-        "items",
-    )
-    bad = parsed.where(F.col("found").isNull()).groupBy("doc").agg(F.min(F.struct("number", "text")).alias("bad"))
-    known = docs.join(bad, "doc", "left").join(joined(heads, "doc").withColumnRenamed("text", "before"), "doc", "left").join(
-        joined(tails, "doc").withColumnRenamed("text", "behind"), "doc", "left"
-    )
-    whole = F.try_parse_json(F.when(F.col("close").isNotNull(), F.concat("before", F.lit("]"), F.coalesce("behind", F.lit("")))))
-    known = staged(
-        known.withColumn("whole", whole).select(
-            "doc", "open", "close", "bad", (F.col("whole").isNotNull() & (F.col("left_open") == 0)).alias("readable"),
-            F.coalesce("whole", F.try_parse_json(F.concat("before", F.lit("]}")))).alias("header"),
-        ),
-        "headers",
-    )
-    get = lambda path, kind, default: F.coalesce(F.try_variant_get("header", path, kind), F.lit(default).cast(kind))
-    header = known.select(
-        "doc", get("$.id", "bigint", DEFAULT_ID).alias("external_id"), get("$.name", "string", DEFAULT_NAME).alias("name"),
-        get("$.type", "string", DEFAULT_TYPE).alias("type"), F.col("bad.number").alias("bad"),
-    )
-    kept = parsed.join(header, "doc").where(F.col("bad").isNull() | (F.col("number") < F.col("bad")))
-    out = kept.select("external_id", "name", "type", "doc", "number", F.posexplode("found").alias("place", "item")).select(
-        "external_id", "name", "type",
-        F.struct(F.col("doc").alias("source_file"), F.col("number").alias("group"), "place").alias("source_order"), "item",
-    )
-    counts = kept.groupBy("doc").agg(F.sum(F.size("found")).cast("bigint").alias("n"))
-    cause = (
-        F.when(F.col("open").isNull(), "no message array").when(F.col("bad").isNotNull(), F.concat(F.lit("not an item: "), F.trim("bad.text")))
-        .when(F.col("close").isNull(), "the message array does not end").when(~F.col("readable"), "not readable beside the messages")
+    ended = F.col("close").isNotNull() & ~F.rlike("text", F.lit(r"\S"))
+    found = groups.select("doc", "number", "text", F.when(ended, F.lit("[]")).when(
+        (F.col("number") == 0) | (body != ""), F.concat(F.lit("["), body, F.lit("]"))
+    ).alias("body")).select(
+        "doc", "number", F.substring("text", 1, 200).alias("text"), F.try_parse_json("body").cast("array<variant>").alias("found")
     )
-    malformed = known.withColumn("cause", cause).where(F.col("cause").isNotNull()).join(counts, "doc", "left").select(
-        F.col("doc").alias("source_file"), "cause", F.coalesce("n", F.lit(0).cast("bigint")).alias("items_kept")
+    return SplitExports(
+        docs, found, joined(heads, "doc").withColumnRenamed("text", "before"), joined(tails, "doc").withColumnRenamed("text", "behind")
     )
-    return SplitExports(out, malformed)

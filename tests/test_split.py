@@ -127,3 +127,43 @@ def test_staged_texts_are_written_densely(spark):
     found = staged(words, "dense")
     assert found.inputFiles() and all(".zstd." in name for name in found.inputFiles())
     assert sorted(found.collect()) == sorted(words.collect())
+
+
+def test_breaks_are_found_without_storing_items(spark, monkeypatch):
+    from convoscope.sources import split
+
+    stored = {}
+    plain = split.staged
+    monkeypatch.setattr(split, "staged", lambda rows, name: stored.setdefault(name, plain(rows, name)))
+    text = json.dumps({"id": 8, "messages": [{"id": 1, "text": NASTY[1]}, {"id": 2, "text": "two"}]})
+    frame = spark.createDataFrame([("whole", text), ("broken", text[:-5])], "source_file string, value string")
+    found = split_documents(frame)
+    rows = [tuple(row) for row in found.malformed.collect()]
+    assert [(name, kept) for name, _, kept in rows] == [("broken", 1)]
+    assert "items" not in stored and set(stored["checked"].columns) == {"doc", "number", "text", "n"}
+    assert len(shown(found.items)["whole"]) == 2 and len(shown(found.items)["broken"]) == 1
+    assert [tuple(row) for row in split_documents(frame).malformed.collect()] == rows
+
+
+def test_skeleton_of_a_fragment(spark):
+    from pyspark.sql import functions as F
+    from convoscope.sources.split import _brackets, _quotes, _skeleton
+
+    def plain(text):
+        out, skip, inside, quotes = ["", ""], False, 0, 0
+        for c in text:
+            if skip:
+                skip = False
+            elif c == "\\":
+                skip = True
+            elif c == '"':
+                inside, quotes = 1 - inside, quotes + 1
+            elif c in "[]{}":
+                out[inside] += c
+        return out[0], out[1], quotes
+
+    pick = random.Random(5)
+    texts = ["".join(pick.choice('ab "\\[]{}\n😀é') for _ in range(pick.randint(0, 40))) for _ in range(300)]
+    bones = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", _skeleton(F.col("t")))
+    for t, *got in bones.select("t", _brackets(F.col("s"), 0), _brackets(F.col("s"), 1), _quotes(F.col("s"))).collect():
+        assert tuple(got) == plain(t), t
