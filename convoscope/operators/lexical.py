@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoscope.functions.lexicon import DEFAULT_LEXICON, Lexicon
-from convoscope.functions.text import analysis_text, style_counts, tokenize, word_count
+from convoscope.functions.text import analysis_text, style_counts, tokenize, word_count, words_of
 from convoscope.operators.arrange import Arranged, arrange, lookup, neighbours, running_sums
 from convoscope.operators.timeline import BY_SENDER, with_bursts
 from convoscope.params import DEFAULT, Params
+from convoscope.session import ship_package
 
 # Fixed value: keeps a category neither side used from dividing by zero.
 STYLE_EPSILON = 0.0001
@@ -82,53 +86,86 @@ def token_stream(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def _with_sender_total(base: Arranged) -> DataFrame:
+    """Rows of ``_offsets`` with ``_n``, the words of their sender in the chat."""
+    rows = base.rows.select("chat_id", "msg_id", "sender_id", "_words", "_offset", "_upto")
+    if not base.sliced:
+        # The rows of a sender are together already; nothing is read or moved again.
+        return rows.withColumn("_n", F.max("_upto").over(Window.partitionBy(*BY_SENDER)))
+    totals = base.rows.groupBy(*BY_SENDER).agg(F.max("_upto").alias("_n"))
+    return lookup(rows, totals, BY_SENDER, "msg_id", True, base.params, base.total)
+
+
+def _windows_of(size: int, window: int):
+    """What a task makes of one bucket: its words, each with the windows it is first in."""
+
+    def work(key, rows):
+        lists = pc.split_pattern(rows.column("_text").combine_chunks().cast(pa.large_string()), " ")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        tokens = lists.flatten().dictionary_encode()
+        code = tokens.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        i = np.arange(len(code)) + np.repeat(rows.column("_at").to_numpy() - (ends - lengths), lengths)
+        order = np.lexsort((i, code))
+        code, i = code[order], i[order]
+        last = np.full(len(i), -1, dtype=np.int64)
+        again = code[1:] == code[:-1]
+        last[1:][again] = i[:-1][again]
+        n = rows.column("_n")[0].as_py()
+        w = min(window, n)
+        first = np.maximum(np.maximum(last + 1, i - w + 1), 0)
+        windows = np.maximum(np.minimum(i, n - w) - first + 1, 0)
+        own = i // size == key[2].as_py()
+        # At most a bucket's words times a window's, which a double holds exactly.
+        total = np.bincount(code[own], weights=windows[own], minlength=len(tokens.dictionary)).astype(np.int64)
+        found = np.flatnonzero(np.bincount(code[own], minlength=len(tokens.dictionary)))
+        some = lambda value, kind: pa.array([value.as_py()] * len(found), kind)
+        return pa.table(
+            {
+                "chat_id": some(key[0], rows.schema.field("chat_id").type),
+                "sender_id": some(key[1], rows.schema.field("sender_id").type),
+                "token": tokens.dictionary.take(pa.array(found)).cast(pa.string()),
+                "_n": pa.array(np.full(len(found), n, dtype=np.int64)),
+                "_windows": pa.array(total[found]),
+            }
+        )
+
+    return work
+
+
 def _windows_per_word(messages: DataFrame, params: Params) -> DataFrame:
-    """Every word with the number of windows it is the first of its kind in.
+    """Each bucket's different words with the number of windows they come first in.
 
     With W = min(500, N) of the sender's N words, a word at position i whose previous
     use is at p comes first in ``min(i, N-W) - max(p+1, i-W+1, 0) + 1`` windows (none if
     negative). Only a use within the last W words matters, so positions are cut into
-    buckets, each with the W-1 words before it, and a frequent word is spread over its
-    buckets.
+    buckets, each with the W-1 words before it. A message goes to its buckets as text, a
+    long one in the parts that they need, so no word is a row before it is counted and a
+    task holds ``tokens_per_bucket`` words, whatever the size of a chat or a message.
     """
     window = params.diversity_window
     size = max(params.tokens_per_bucket, window)
-    base = _offsets(messages, params)
-    # From the same shuffled rows as the offsets, so the words are counted once.
-    totals = base.rows.groupBy(*BY_SENDER).agg(F.max("_upto").alias("_n"))
-    places = lookup(
-        base.rows.select("chat_id", "msg_id", "sender_id", "_offset"),
-        totals,
-        BY_SENDER,
-        "msg_id",
-        base.sliced,
-        params,
-        base.total,
-    ).select("chat_id", "msg_id", "_offset", "_n")
-    # Texts move once, on the unique message key, whatever the size of a chat.
+    places = _with_sender_total(_offsets(messages, params)).where("_words > 0").select(
+        "chat_id", "msg_id", "_offset", "_n"
+    )
+    # Texts move on the unique message key, then to their bucket.
     texts = _with_text(messages).select("chat_id", "msg_id", "sender_id", "_text")
-    words = (
+    cut = (
         texts.join(places, ["chat_id", "msg_id"])
-        .select(*BY_SENDER, "_n", "_offset", F.posexplode(tokenize(F.col("_text"))))
-        .select(
-            *BY_SENDER, "_n", F.col("col").alias("token"), (F.col("_offset") + F.col("pos")).alias("i")
-        )
+        .select(*BY_SENDER, "_n", "_offset", words_of(F.col("_text")).alias("_cut"))
+        .withColumn("_end", F.col("_offset") + F.size("_cut"))
+        .select("*", F.explode(F.expr(f"sequence(_offset div {size}, (_end + {window - 2}) div {size})")).alias("_bucket"))
+        .withColumn("_at", F.greatest(F.col("_offset"), F.col("_bucket") * size - (window - 1)))
+        .withColumn("_to", F.least(F.col("_end"), (F.col("_bucket") + 1) * size))
+        .where("_to > _at")
     )
-    own = F.expr(f"i div {size}")
-    carried = F.col("i") % size > size - window
-    buckets = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = words.select("*", F.explode(buckets).alias("_bucket"))
-    last_use = F.lag("i").over(
-        Window.partitionBy(*BY_SENDER, "_bucket", "token").orderBy("i")
-    )
-    n, i = F.col("_n"), F.col("i")
-    w = F.least(F.lit(window), n)
-    first = F.greatest(F.coalesce(F.col("_p"), F.lit(-1)) + 1, i - w + 1, F.lit(0))
-    windows = F.greatest(F.least(i, n - w) - first + 1, F.lit(0))
-    return (
-        spread.withColumn("_p", last_use)
-        .filter(F.col("_bucket") == own)
-        .select(*BY_SENDER, "token", "_n", windows.alias("_windows"))
+    part = F.slice("_cut", (F.col("_at") - F.col("_offset") + 1).cast("int"), (F.col("_to") - F.col("_at")).cast("int"))
+    parts = cut.select(*BY_SENDER, "_bucket", "_n", "_at", F.lower(F.array_join(part, " ")).alias("_text"))
+    ship_package(messages.sparkSession)
+    kinds = {field.name: field.dataType.simpleString() for field in messages.schema}
+    return parts.groupBy(*BY_SENDER, "_bucket").applyInArrow(
+        _windows_of(size, window),
+        f"chat_id {kinds['chat_id']}, sender_id {kinds['sender_id']}, token string, _n bigint, _windows bigint",
     )
 
 

@@ -93,3 +93,19 @@ def test_turns_without_words_vanish(spark):
 def test_one_speaker_has_nothing_to_match(spark):
     df = messages(spark, [("u1", 0, "talking"), ("u1", 60, "to myself")])
     assert L.style_matching(df).count() == 0
+
+
+def test_long_messages_are_cut_into_buckets(spark):
+    pick = random.Random(4)
+    words = [[pick.choice("The the İx ΑΣ ΣΑ é1 b_ c".split()) for _ in range(n)] for n in (3, 60, 0, 1, 25)]
+    rows = [("u1", k, ", ".join(w) if w else "?!") for k, w in enumerate(words)]
+    params = Params(diversity_window=6, tokens_per_bucket=10)
+    data = messages(spark, rows)
+    tokens = [r["token"] for r in L.token_stream(data, params).orderBy("position").collect()]
+    found = L.word_profile(data, params)
+    row = found.first()
+    assert (row["token_count"], row["unique_count"]) == (len(tokens), len(set(tokens)))
+    assert row["lexical_diversity"] == pytest.approx(brute_diversity(tokens, 6))
+    # Messages are moved, not a row per word.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "FlatMapGroupsInArrow" in plan
