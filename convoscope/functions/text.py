@@ -194,14 +194,15 @@ def with_features(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFram
     staged = (
         df.drop(*DERIVED_COLUMNS)
         .withColumn("_text", analysis_text())
-        .withColumn("_tokens", tokenize(text))
+        .withColumn("_cut", words_of(text))
+        .withColumn("_tokens", F.transform("_cut", F.lower))
         .withColumns(
             {
                 "_hits": F.filter("_tokens", lambda token: token.isin(*listed)),
-                "_words": F.size("_tokens"),
+                "_words": F.size("_cut"),
                 "_asks": F.exists("_tokens", lambda token: token.isin(*lexicon.question_words)),
                 "_question": is_question(raw),
-                "_whole": F.when(F.size("_tokens") <= longest, whole_message_token(text)).otherwise(
+                "_whole": F.when(F.size("_cut") <= longest, whole_message_token(text)).otherwise(
                     F.lit(None)
                 ),
             }
@@ -224,7 +225,7 @@ def with_features(df: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFram
         columns[f"{name}_count"] = members(hits, words)
     ordered = [columns[name].alias(name) for name in DERIVED_COLUMNS]
     return staged.select("*", *ordered).drop(
-        "_text", "_tokens", "_hits", "_words", "_asks", "_question", "_whole"
+        "_text", "_cut", "_tokens", "_hits", "_words", "_asks", "_question", "_whole"
     )
 
 
