@@ -14,8 +14,9 @@ from convoscope.session import ensure_checkpoint_dir, ship_package
 #: Rows up to which a summary is sent to every executor; beyond it the join shuffles.
 SMALL_ROWS = 50_000
 
-#: Rows that a worker annotates and sends back at once.
+#: Rows of text that a worker is sent, annotates and sends back at once.
 PIECE_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,8 +47,14 @@ def arrow_map(
     rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema
 ) -> DataFrame:
     """``mapInArrow``; a worker gives the memory it freed back at the end of a task, not
-    at the end of its life, since the next stage's workers share the executor with it."""
-    ship_package(rows.sparkSession)
+    at the end of its life, since the next stage's workers share the executor with it.
+
+    Rows are whole texts, and the executor and its worker hold a batch of them each, so
+    a session that keeps Spark's size of a batch gets a smaller one."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(PIECE_ROWS))
 
     def run(batches):
         try:

@@ -203,3 +203,15 @@ def test_automaton_equals_the_matcher_and_is_minimal():
     for wrong in ("a*", "(a", "[^a]", "a)", "\\d", "[a"):
         with pytest.raises(ValueError):
             compiled([positions(wrong)])
+
+
+def test_a_worker_is_sent_few_texts_at_once(spark):
+    import pyarrow as pa
+    from convoscope.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    found = common.arrow_map(spark.range(0, 5000, 1, 1), sizes, "n bigint").collect()
+    assert sum(r["n"] for r in found) == 5000 and max(r["n"] for r in found) <= common.PIECE_ROWS
