@@ -86,6 +86,56 @@ def token_stream(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def _windows_per_word(messages: DataFrame, params: Params) -> DataFrame:
+    """Every word with the number of windows it is the first of its kind in.
+
+    With W = min(500, N) of the sender's N words, a word at position i whose previous
+    use is at p comes first in ``min(i, N-W) - max(p+1, i-W+1, 0) + 1`` windows (none if
+    negative). Only a use within the last W words matters, so positions are cut into
+    buckets, each with the W-1 words before it, and a frequent word is spread over its
+    buckets.
+    """
+    window = params.diversity_window
+    size = max(params.tokens_per_bucket, window)
+    base = _offsets(messages, params)
+    # From the same shuffled rows as the offsets, so the words are counted once.
+    totals = base.rows.groupBy(*BY_SENDER).agg(F.max("_upto").alias("_n"))
+    places = lookup(
+        base.rows.select("chat_id", "msg_id", "sender_id", "_offset"),
+        totals,
+        BY_SENDER,
+        "msg_id",
+        base.sliced,
+        params,
+        base.total,
+    ).select("chat_id", "msg_id", "_offset", "_n")
+    # Texts move once, on the unique message key, whatever the size of a chat.
+    texts = _with_text(messages).select("chat_id", "msg_id", "sender_id", "_text")
+    words = (
+        texts.join(places, ["chat_id", "msg_id"])
+        .select(*BY_SENDER, "_n", "_offset", F.posexplode(tokenize(F.col("_text"))))
+        .select(
+            *BY_SENDER, "_n", F.col("col").alias("token"), (F.col("_offset") + F.col("pos")).alias("i")
+        )
+    )
+    own = F.expr(f"i div {size}")
+    carried = F.col("i") % size > size - window
+    buckets = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = words.select("*", F.explode(buckets).alias("_bucket"))
+    last_use = F.lag("i").over(
+        Window.partitionBy(*BY_SENDER, "_bucket", "token").orderBy("i")
+    )
+    n, i = F.col("_n"), F.col("i")
+    w = F.least(F.lit(window), n)
+    first = F.greatest(F.coalesce(F.col("_p"), F.lit(-1)) + 1, i - w + 1, F.lit(0))
+    windows = F.greatest(F.least(i, n - w) - first + 1, F.lit(0))
+    return (
+        spread.withColumn("_p", last_use)
+        .filter(F.col("_bucket") == own)
+        .select(*BY_SENDER, "token", "_n", windows.alias("_windows"))
+    )
+
+
 def _with_sender_total(base: Arranged) -> DataFrame:
     """Rows of ``_offsets`` with ``_n``, the words of their sender in the chat."""
     rows = base.rows.select("chat_id", "msg_id", "sender_id", "_words", "_offset", "_upto")
@@ -133,7 +183,7 @@ def _windows_of(size: int, window: int):
     return work
 
 
-def _windows_per_word(messages: DataFrame, params: Params) -> DataFrame:
+def _windows_by_bucket(messages: DataFrame, params: Params) -> DataFrame:
     """Each bucket's different words with the number of windows they come first in.
 
     With W = min(500, N) of the sender's N words, a word at position i whose previous
@@ -187,9 +237,10 @@ def lexical_diversity(messages: DataFrame, params: Params = DEFAULT) -> DataFram
 
 
 def word_profile(messages: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """L2 and L3 from one pass over the words: counts, distinct words and diversity."""
+    """L2 and L3 from one pass over the words, bucket by bucket in Arrow workers: counts,
+    distinct words and diversity. ``lexical_diversity`` alone needs no Python."""
     per_word = (
-        _windows_per_word(messages, params)
+        _windows_by_bucket(messages, params)
         .groupBy(*BY_SENDER, "token")
         .agg(F.max("_n").alias("_n"), F.sum("_windows").alias("_windows"))
     )
