@@ -430,14 +430,13 @@ def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: Ja
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     lists = stage(entries.join(several.select("token"), "token", "left_semi"), "lists")
     signatures, sets = posted.select("node", "signature"), _Sets(docs, classes, p)
-    nothing = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
     is_link = _alike(F.col("shared"), F.col("n_a"), F.col("n_b"), p)
-    links, roots, pivots = None, nothing, None
+    links, pivots = None, None
 
     # Every set against pivots of its lists. The first pivot of a list is its first
     # document, mostly one for all lists of a group of copies; after that, while pairs
     # between components are many more than entries, each list tries one of its own.
-    open_lists = _with_roots(lists, roots)
+    open_lists = lists.withColumn("root", F.col("node"))  # every list holds several sets
     for turn in range(p.rounds):
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "node") if turn == 0 else F.struct(
             F.xxhash64("node", "token", F.lit(turn)), "node"
@@ -469,6 +468,8 @@ def _links(docs: DataFrame, classes: DataFrame, posted: DataFrame, shared, p: Ja
         links = new if links is None else links.unionByName(new)
         roots = stage(components(links), "roots")
         open_lists = _with_roots(lists, roots)
+        if turn + 1 == p.rounds:
+            break
         count, left = _pairs_left(open_lists)
         if left <= 2 * count:
             break

@@ -119,6 +119,45 @@ def test_components_of_paths_and_stars(spark):
     assert len(found) == 210
 
 
+def tasks_of(spark, group, work):
+    """What ``work`` returns, and how many tasks it ran."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_components_run_few_tasks(spark):
+    """The driver keeps something of every task: a round has few shuffles, and edges that
+    lead to roots already need no round."""
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pick = random.Random(3)
+        pairs = [(pick.randrange(200), pick.randrange(200)) for _ in range(150)]
+        pairs += [(1000, n) for n in range(1001, 1040)] + [(n, 2000) for n in range(1900, 1940)]
+        expected = {}
+        for a, b in pairs:
+            group = expected.get(a, {a}) | expected.get(b, {b})
+            for n in group:
+                expected[n] = group
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        rows, tasks = tasks_of(spark, "mixed", lambda: components(edges).collect())
+        assert len(rows) == len({r["node"] for r in rows})
+        assert {r["node"]: r["root"] for r in rows} == {n: min(g) for n, g in expected.items() if len(g) > 1}
+        star = spark.createDataFrame([(1000, n) for n in range(1001, 1040)], "a long, b long")
+        rows, star_tasks = tasks_of(spark, "star", lambda: components(star).collect())
+        assert {r["node"]: r["root"] for r in rows} == {n: 1000 for n in range(1000, 1040)}
+        assert tasks <= 245 and star_tasks <= 55
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+
+
 def test_one_of_each_keeps_one_row_of_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(4, text, "s", None), (4, text, "s", None), (2, text + " x", "s", None), (9, None, "s", None), (9, "", None, None)]
